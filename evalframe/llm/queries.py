@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -87,5 +88,40 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap_report(table(spark, d, "test_cases"))
 
 
+def vocabulary_path() -> str:
+    """The vocabulary file: EVALFRAME_TOKENIZER if set, else the installed public one."""
+    return os.environ.get("EVALFRAME_TOKENIZER") or "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    from evalframe.llm.bpe_automaton import token_ids
+
+    return token_ids(table(spark, d, "documents"), vocabulary_path())
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    from evalframe.llm.bpe_automaton import token_report
+
+    return token_report(table(spark, d, "documents"), vocabulary_path())
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from evalframe.llm.leak_suffix import leaked_pairs
+
+    return leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    from evalframe.llm.leak_suffix import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    from evalframe.llm.leak_suffix import without_leaks
+
+    return without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "source", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
