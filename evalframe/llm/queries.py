@@ -123,5 +123,22 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "source", "n_chars")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from evalframe.llm.sentences import sentences
+
+    return sentences(table(spark, d, "documents"))
+
+
+def p9_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences, and the least, mean and greatest length, by source of the document."""
+    from evalframe.llm.sentences import sentences
+
+    docs = table(spark, d, "documents")
+    size = F.col("end_pos") - F.col("start_pos")
+    by_doc = sentences(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("lo"), F.sum(size).alias("total"), F.max(size).alias("hi"))
+    joined = docs.select("doc_id", "source").join(by_doc, "doc_id")
+    return joined.groupBy("source").agg(F.sum("n").alias("sentences"), F.min("lo").alias("shortest"), (F.sum("total") / F.sum("n")).alias("mean_chars"), F.max("hi").alias("longest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
