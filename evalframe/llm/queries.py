@@ -47,6 +47,18 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample(table(spark, d, "oracle_meta"), table(spark, d, "sample_targets"))[1]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from evalframe.llm.source_parse import unparsable_files
+
+    return unparsable_files(table(spark, d, "solutions")).select(F.col("id").alias("solution_id"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    from evalframe.llm.source_parse import parse_rates
+
+    return parse_rates(table(spark, d, "solutions"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from evalframe.llm.format_duplicates import answer_fields, code_fields, format_classes
 
