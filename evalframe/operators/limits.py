@@ -1,28 +1,27 @@
-"""Order-dependent limits without a single-partition window: prefix sums over range partitions."""
+"""Order-dependent limits without a window over all rows: prefix sums over blocks of positions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: positions a block
+BLOCK = 65_536
+
 
 def running_successes(df: DataFrame, order: str, ok: Column) -> DataFrame:
-    """Adds ``before``: the number of successes at earlier positions.
+    """Adds ``before``: the number of successes at earlier positions (``order``: unique whole numbers).
 
-    Positions are cut into ranges; sums of the ranges (few rows) are prefixed, then each range counts
-    within itself, so no task sees all rows. ``order`` must be unique.
+    Sums of blocks of positions are prefixed (one row a block), then each block counts within itself.
     """
-    spark = df.sparkSession
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marked = df.repartitionByRange(ranges, order).withColumn("_ok", ok.cast("int")).withColumn("_part", F.spark_partition_id())
-    marked = marked.select("*")
-    sums = marked.groupBy("_part").agg(F.sum("_ok").alias("_s"), F.min(order).alias("_o"))
-    base = sums.select("_part", (F.sum("_s").over(Window.orderBy("_o")) - F.col("_s")).alias("_base"))
-    within = F.coalesce(F.sum("_ok").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return marked.withColumn("_within", within).join(base, "_part").withColumn("before", F.col("_base") + F.col("_within")).drop("_ok", "_part", "_within", "_base")
+    marked = df.withColumn("_ok", F.coalesce(ok, F.lit(False)).cast("int")).withColumn("_block", F.floor(F.col(order) / BLOCK))
+    sums = marked.groupBy("_block").agg(F.sum("_ok").alias("_s"))
+    base = sums.select("_block", (F.sum("_s").over(Window.orderBy("_block")) - F.col("_s")).alias("_base"))
+    within = F.coalesce(F.sum("_ok").over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("_within", within).join(base, "_block").withColumn("before", F.col("_base") + F.col("_within")).drop("_ok", "_block", "_within", "_base")
 
 
 def limit_on_success(df: DataFrame, order: str, ok: Column, limit: int) -> DataFrame:
-    """The scanned prefix: rows up to and with the one that completes ``limit`` successes; all if limit <= 0."""
+    """The scanned prefix: rows up to and with the one that completes ``limit`` successes; all if limit <= 0."""
     if limit <= 0:
         return df
     return running_successes(df, order, ok).where(F.col("before") < limit).drop("before")
