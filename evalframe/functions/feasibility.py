@@ -7,7 +7,7 @@ so that an overflow is larger than any budget (FAIL), and decimals where they ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 OPS_PER_SECOND = 100_000_000
 
@@ -76,9 +76,11 @@ def _ceil(x: Column) -> Column:
     return F.when(x < F.lit(9.0e15), F.ceil(x).cast("double")).otherwise(x)
 
 
-def estimate(complexity: Column, bounds: Column) -> Column:
-    """M7: operations or units of a complexity string as a double; null where it cannot be told."""
-    e = expression_of(complexity)
+def estimate(e: Column, bounds: Column) -> Column:
+    """M7: operations or units of an expression (``expression_of``) as a double; null where it cannot be told.
+
+    ``e`` and ``bounds`` are used many times: pass columns of an earlier projection, not expressions.
+    """
     names = F.regexp_extract_all(e, F.lit(r"([a-z][a-z0-9_]*)"), F.lit(1))
     first = F.try_element_at(bounds, F.try_element_at(F.filter(names, lambda n: F.map_contains_key(bounds, n)), F.lit(1)))
     two = F.try_element_at(bounds, F.regexp_extract(e, r"2\^([a-z][a-z0-9_]*)", 1))
@@ -120,32 +122,38 @@ def status(value: Column, budget: Column) -> Column:
     return F.when(value.isNull(), "UNKNOWN").when(value <= budget, "PASS").otherwise("FAIL")
 
 
-def resource_verdict(
-    constraints: Column, time_limit_sec: Column, memory_limit_mb: Column, time_complexity: Column, space_complexity: Column, code: Column,
-    declared_bounds: Column | None = None, declared_ops: Column | None = None, declared_bytes: Column | None = None, ops_per_second: int = OPS_PER_SECOND,
-) -> Column:
-    """M1: the verdict struct. Declared values win over derived ones; memory is the greatest known estimate."""
-    bounds = variable_bounds(constraints)
-    if declared_bounds is not None:
-        low = F.transform_keys(declared_bounds, lambda k, v: F.lower(k))
+def add_resource_verdict(
+    df: DataFrame, constraints: str, time_limit_sec: str, memory_limit_mb: str, time_complexity: str, space_complexity: str, code: str,
+    declared_bounds: str | None = None, declared_ops: str | None = None, declared_bytes: str | None = None, name: str = "resource_verdict", ops_per_second: int = OPS_PER_SECOND,
+) -> DataFrame:
+    """M1: adds the verdict struct. Declared values win over derived ones; memory is the greatest known estimate.
+
+    Each step is a projection of its own, so nothing is computed twice.
+    """
+    bounds = variable_bounds(F.col(constraints))
+    if declared_bounds:
+        low = F.transform_keys(F.coalesce(declared_bounds, F.create_map().cast("map<string,bigint>")), lambda k, v: F.lower(k))
         bounds = F.map_zip_with(bounds, low, lambda k, x, y: F.coalesce(y, x))
-    ops = estimate(time_complexity, bounds)
-    size = F.greatest(code_memory(code, bounds), estimate(space_complexity, bounds) * 8)
-    ops = F.coalesce(declared_ops.cast("double"), ops) if declared_ops is not None else ops
-    size = F.coalesce(declared_bytes.cast("double"), size) if declared_bytes is not None else size
-    budget, room = F.floor(time_limit_sec * ops_per_second).cast("bigint"), memory_limit_mb.cast("bigint") * 1024 * 1024
-    ts, ms = status(ops, budget), status(size, room)
-    shown = lambda x: F.coalesce(x.try_cast("decimal(38,0)").cast("string"), F.lit("overflow"))
+    staged = df.withColumns({"_b": bounds, "_te": expression_of(F.col(time_complexity)), "_se": expression_of(F.col(space_complexity)), "_budget": F.floor(F.col(time_limit_sec) * ops_per_second).cast("bigint"), "_room": F.col(memory_limit_mb).cast("bigint") * 1024 * 1024})
+    ops, size = estimate(F.col("_te"), F.col("_b")), F.greatest(code_memory(F.col(code), F.col("_b")), estimate(F.col("_se"), F.col("_b")) * 8)
+    if declared_ops:
+        ops = F.coalesce(F.col(declared_ops).cast("double"), ops)
+    if declared_bytes:
+        size = F.coalesce(F.col(declared_bytes).cast("double"), size)
+    staged = staged.withColumns({"_ops": ops, "_size": size})
+    staged = staged.withColumns({"_ts": status(F.col("_ops"), F.col("_budget")), "_ms": status(F.col("_size"), F.col("_room"))})
+    shown = lambda c: F.coalesce(F.col(c).try_cast("decimal(38,0)").cast("string"), F.lit("overflow"))
     reasons = F.array_compact(F.array(
-        F.when(ts == "FAIL", F.concat(F.lit("THEORETICAL_TLE: estimated "), shown(ops), F.lit(" operations exceeds budget "), budget.cast("string"), F.lit(".")))
-        .when(ts == "UNKNOWN", F.concat(F.lit("Time complexity could not be estimated from '"), time_complexity, F.lit("'."))),
-        F.when(ms == "FAIL", F.concat(F.lit("THEORETICAL_MLE: estimated "), shown(size), F.lit(" bytes exceeds budget "), room.cast("string"), F.lit(".")))
-        .when(ms == "UNKNOWN", F.concat(F.lit("Memory usage could not be estimated from '"), space_complexity, F.lit("'."))),
+        F.when(F.col("_ts") == "FAIL", F.concat(F.lit("THEORETICAL_TLE: estimated "), shown("_ops"), F.lit(" operations exceeds budget "), F.col("_budget").cast("string"), F.lit(".")))
+        .when(F.col("_ts") == "UNKNOWN", F.concat(F.lit("Time complexity could not be estimated from '"), F.col(time_complexity), F.lit("'."))),
+        F.when(F.col("_ms") == "FAIL", F.concat(F.lit("THEORETICAL_MLE: estimated "), shown("_size"), F.lit(" bytes exceeds budget "), F.col("_room").cast("string"), F.lit(".")))
+        .when(F.col("_ms") == "UNKNOWN", F.concat(F.lit("Memory usage could not be estimated from '"), F.col(space_complexity), F.lit("'."))),
     ))
-    return F.struct(
-        ts.alias("time_status"), ms.alias("memory_status"), ops.try_cast("decimal(38,0)").alias("estimated_operations"), budget.alias("operation_budget"),
-        size.try_cast("decimal(38,0)").alias("estimated_memory_bytes"), room.alias("memory_budget_bytes"), reasons.alias("reasons"),
+    verdict = F.struct(
+        F.col("_ts").alias("time_status"), F.col("_ms").alias("memory_status"), F.col("_ops").try_cast("decimal(38,0)").alias("estimated_operations"), F.col("_budget").alias("operation_budget"),
+        F.col("_size").try_cast("decimal(38,0)").alias("estimated_memory_bytes"), F.col("_room").alias("memory_budget_bytes"), reasons.alias("reasons"),
     )
+    return staged.withColumn(name, verdict).drop("_b", "_te", "_se", "_budget", "_room", "_ops", "_size", "_ts", "_ms")
 
 
 def unknown_verdict(time_limit_sec: Column, memory_limit_mb: Column, ops_per_second: int = OPS_PER_SECOND) -> Column:

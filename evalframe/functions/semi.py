@@ -25,21 +25,17 @@ def variant_kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
 
 
-def as_list(c: Column) -> Column:
-    """N2 over a JSON-ish string: an array of VARIANT; a scalar becomes one element, null and blank none, other text itself."""
-    v = parse_jsonish(c)
-    raw = F.when(strip(c) != "", F.array(F.to_variant_object(c))).otherwise(F.array().cast("array<variant>"))
-    many = F.when(variant_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).when(variant_kind(v) == "VOID", F.array().cast("array<variant>")).otherwise(F.array(v))
-    return F.when(v.isNull(), F.coalesce(raw, F.array().cast("array<variant>"))).otherwise(many)
-
-
 def list_text(c: Column) -> Column:
-    """N2 over a JSON-ish string, each element as text."""
+    """N2 over a JSON-ish string, each element as text (strings bare, others as JSON).
+
+    Null and blank give no element, a scalar or object one, text that is no JSON itself.
+    """
     v = parse_jsonish(c)
     many = F.from_json(F.to_json(v), "array<string>")
     none = F.array().cast("array<string>")
     kind = variant_kind(v)
-    return F.when(strip(c).isNull() | (strip(c) == ""), none).when(v.isNull(), F.array(c)).when(kind == "ARRAY", many).when(kind == "VOID", none).otherwise(F.array(F.try_variant_get(v, "$", "string")))
+    one = F.array(F.when(kind == "OBJECT", F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string")))
+    return F.when(c.isNull() | (strip(c) == ""), none).when(v.isNull(), F.array(c)).when(kind == "ARRAY", many).when(kind == "VOID", none).otherwise(one)
 
 
 @F.pandas_udf("array<string>")
@@ -70,4 +66,4 @@ def merge_maps(a: Column, b: Column) -> Column:
 
 def zip_cases(inputs: Column, outputs: Column) -> Column:
     """Inputs and outputs by position; null unless equally many."""
-    return F.when(F.size(inputs) == F.size(outputs), F.transform(F.arrays_zip(inputs.alias("i"), outputs.alias("o")), lambda z: F.struct(z["0"].alias("stdin"), z["1"].alias("expected_stdout"))))
+    return F.when(F.size(inputs) == F.size(outputs), F.transform(F.arrays_zip(inputs.alias("i"), outputs.alias("o")), lambda z: F.struct(z["i"].alias("stdin"), z["o"].alias("expected_stdout"))))

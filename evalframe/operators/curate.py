@@ -29,7 +29,7 @@ def case_ids(cases: Column, prefix: str) -> Column:
 
 def solutions_of(raw: Column) -> Column:
     """Distinct non-empty codes of a JSON list of strings or objects, each with its detected language."""
-    items = F.from_json(F.to_json(semi.as_list(raw)), "array<string>")
+    items = semi.list_text(raw)
     field = lambda s, k: F.nullif(F.get_json_object(s, f"$.{k}"), F.lit(""))
     code = lambda s: F.when(F.startswith(F.ltrim(s), F.lit("{")), F.coalesce(field(s, "code"), field(s, "solution"), field(s, "text"), F.when(~semi.is_json(s), s))).otherwise(s)
     codes = F.array_distinct(F.filter(F.transform(items, code), lambda s: F.coalesce(s, F.lit("")) != ""))
@@ -93,7 +93,7 @@ def coerce_bundle(df: DataFrame) -> DataFrame:
     )
     def side(cases: Column, prefix: str) -> Column:
         some = F.coalesce(cases, F.array().cast("array<struct<id:string,name:string,stdin:string,expected_stdout:string,timeout_sec:double>>"))
-        return F.transform(F.arrays_zip(some.alias("c"), case_ids(some, prefix).alias("i")), lambda z: F.struct(z["1"].alias("id"), z["0"]["stdin"].alias("stdin"), z["0"]["expected_stdout"].alias("expected_stdout"), z["0"]["timeout_sec"].alias("timeout_sec")))
+        return F.transform(F.arrays_zip(some.alias("c"), case_ids(some, prefix).alias("i")), lambda z: F.struct(z["i"].alias("id"), z["c"]["stdin"].alias("stdin"), z["c"]["expected_stdout"].alias("expected_stdout"), z["c"]["timeout_sec"].alias("timeout_sec")))
     sols = F.filter(F.coalesce(o["solutions"], F.array().cast("array<struct<language:string,code:string,verified:boolean>>")), lambda s: F.coalesce(s["code"], F.lit("")) != "")
     sols = F.transform(sols, lambda s: F.struct(F.coalesce(s["language"], F.lit("")).alias("language"), s["code"].alias("code"), F.coalesce(s["verified"], F.lit(False)).alias("verified")))
     text_of = lambda n: F.coalesce(o[n], F.lit("")).alias(n)

@@ -138,14 +138,13 @@ def _estimates(spark: S, d: str) -> D:
 
 
 def complexity_estimate(spark: S, d: str) -> D:
-    e = _estimates(spark, d).withColumn("b", feasibility.variable_bounds(F.col("constraints")))
-    return e.select("problem_id", feasibility.expression_of(F.col("tc")).alias("expression"), feasibility.estimate(F.col("tc"), F.col("b")).alias("operations"))
+    e = _estimates(spark, d).withColumn("b", feasibility.variable_bounds(F.col("constraints"))).withColumn("expression", feasibility.expression_of(F.col("tc")))
+    return e.select("problem_id", "expression", F.round(feasibility.estimate(F.col("expression"), F.col("b")), 0).alias("operations"))
 
 
 def resource_verdict(spark: S, d: str) -> D:
-    e = _estimates(spark, d)
-    v = feasibility.resource_verdict(F.col("constraints"), F.col("time_limit_sec"), F.col("memory_limit_mb"), F.col("tc"), F.col("sc"), F.lit(""))
-    return e.select("problem_id", v.alias("v")).select("problem_id", "v.time_status", "v.memory_status", "v.operation_budget", "v.memory_budget_bytes", F.size("v.reasons").alias("reasons"))
+    e = feasibility.add_resource_verdict(_estimates(spark, d), "constraints", "time_limit_sec", "memory_limit_mb", "tc", "sc", "code", name="v")
+    return e.select("problem_id", "v.time_status", "v.memory_status", "v.operation_budget", "v.memory_budget_bytes", F.size("v.reasons").alias("reasons"))
 
 
 def code_memory(spark: S, d: str) -> D:
@@ -281,7 +280,7 @@ def lookup_last_wins(spark: S, d: str) -> D:
 def leak_guard(spark: S, d: str) -> D:
     """Bundles whose prompt would show the reference solution or an answer; must be none."""
     b = views.bundles(spark, d)
-    return b.where((F.length("cpp") > 0) & F.contains(F.col("prompt"), F.col("cpp"))).select("problem_id")
+    return b.where((F.length(text.strip("cpp")) > 0) & F.contains(F.col("prompt"), F.col("cpp"))).select("problem_id")
 
 
 def run_python_oracles(spark: S, d: str) -> D:
@@ -291,7 +290,7 @@ def run_python_oracles(spark: S, d: str) -> D:
     cases = "array(named_struct('id','repair-0001','name',cast(null as string),'stdin','2 3','expected_stdout','5','timeout_sec',cast(null as double)))"
     rows = [("sum", "a, b = map(int, input().split())\nprint(a + b)"), ("late", "while True:\n    pass"), ("bad", "print("), ("wrong", "print(6)"), ("crash", "print(5)\nraise SystemExit(3)")]
     df = spark.createDataFrame(rows, "candidate_id string, code string").select("candidate_id", "code", F.expr(cases).alias("tests"), F.lit(1.0).alias("timeout_sec"), F.lit("repair").alias("suite"))
-    return sandbox.evaluate(df).select("candidate_id", "compiled", F.expr("tests[0].passed").alias("passed"), F.expr("tests[0].timed_out").alias("timed_out"))
+    return sandbox.evaluate(df).select("candidate_id", "compiled", F.expr("get(tests, 0).passed").alias("passed"), F.expr("get(tests, 0).timed_out").alias("timed_out"))
 
 
 def repair_loop(spark: S, d: str) -> D:
