@@ -13,13 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def blocks_of_hot_anchors(anchored: DataFrame, block: int) -> DataFrame:
-    """Adds ``nb``: the number of blocks an anchor's list is cut into (1 for nearly all)."""
-    hot = (
-        anchored.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block)
-        .select("h", F.ceil(F.col("c") / block).cast("int").alias("nb"))
-    )
-    return anchored.join(hot, "h", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+def meeting_anchors(anchored: DataFrame, block: int, sides: bool) -> DataFrame:
+    """The rows whose anchor is a meeting place, with ``nb``: the blocks its list is cut into (1 for nearly all).
+
+    An anchor of a single set (with ``sides``: of a single side) makes no pair; its rows end here. The
+    counts are aggregated before the shuffle.
+    """
+    if sides:
+        counts = anchored.groupBy("h").agg(F.count_if("side").alias("c1"), F.count_if(~F.col("side")).alias("c0")).where("c1 > 0 and c0 > 0")
+        most = F.greatest("c0", "c1")
+    else:
+        counts = anchored.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        most = F.col("c")
+    return anchored.join(counts.select("h", F.ceil(most / block).cast("int").alias("nb")), "h")
 
 
 def candidate_pairs(anchored: DataFrame, threshold: tuple[int, int], block: int = 4096, sides: bool = False) -> DataFrame:
@@ -31,7 +37,7 @@ def candidate_pairs(anchored: DataFrame, threshold: tuple[int, int], block: int
     an unbounded list.
     """
     num, den = threshold
-    rows = blocks_of_hot_anchors(anchored, block)
+    rows = meeting_anchors(anchored, block, sides)
     rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     if sides:

@@ -20,11 +20,11 @@ def split_overlap_links(
     known = df.where(F.col(suite_col).isNotNull())
     sets = shingles.shingle_sets(known, id_col, first_col, second_col, shingles.pieces, k, min_pieces, suite_col, rarest_first=True)
     sets = sets.select("id", F.col("tag").alias("suite"), (F.col("tag") == train).alias("side"), "n", "sh")
-    keyed = sets.select("id", "suite", "side", "n", F.xxhash64("sh").alias("g1"), F.hash("sh").alias("g2"))
-    reps = keyed.groupBy("side", "n", "g1", "g2").agg(F.min("id").alias("rep"))
-    members = keyed.join(reps, ["side", "n", "g1", "g2"]).select("id", "suite", "rep", "side")
-    anchored = sets.select("id", "side", "n", F.explode(F.slice("sh", F.lit(1), setjoin.prefix_length(F.col("n"), threshold))).alias("h"))
-    anchored = anchored.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    prefix = F.slice("sh", F.lit(1), setjoin.prefix_length(F.col("n"), threshold))
+    keyed = sets.select("id", "suite", "side", "n", F.xxhash64("sh").alias("g1"), F.hash("sh").alias("g2"), prefix.alias("prefix"))
+    classes = keyed.groupBy("side", "n", "g1", "g2").agg(F.min("id").alias("rep"), F.any_value("prefix").alias("prefix"))
+    members = keyed.drop("prefix").join(classes.drop("prefix"), ["side", "n", "g1", "g2"]).select("id", "suite", "rep", "side")
+    anchored = classes.select(F.col("rep").alias("id"), "side", "n", F.explode("prefix").alias("h"))
     pairs = setjoin.candidate_pairs(anchored, threshold, block, sides=True)
     links = setjoin.verified(pairs, sets.where(~F.col("side")), sets.where("side"), threshold)
     return members, links
