@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from evalframe.functions.text import strip
 
@@ -38,14 +39,14 @@ def list_text(c: Column) -> Column:
     return F.when(c.isNull() | (strip(c) == ""), none).when(v.isNull(), F.array(c)).when(kind == "ARRAY", many).when(kind == "VOID", none).otherwise(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def texts_of_json_array(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The elements of a JSON array, strings as they are, others as JSON with a blank after comma and colon."""
     def one(text: str | None) -> list[str] | None:
         try:
             value = json.loads(text) if text else None
         except ValueError:
-            return None
+            return [text]
         if value is None:
             return []
         values = value if isinstance(value, list) else [value]
@@ -54,6 +55,11 @@ def texts_of_json_array(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
+def json_size(c: Column) -> Column:
+    """How many elements ``texts_of_json_array`` gives, told by the JVM alone."""
+    return F.coalesce(F.json_array_length(c), F.when(c.isNull() | c.isin("", "null"), F.lit(0)).otherwise(F.lit(1)))
+
+
 def distinct_union(*arrays: Column) -> Column:
     """One list of the non-empty items of all, each where it first stands."""
     return F.array_distinct(F.filter(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]), lambda x: x.isNotNull() & (x != "")))

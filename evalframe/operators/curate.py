@@ -48,17 +48,18 @@ def convert(df: DataFrame, index: str = "row_index", ratio: float = 0.7, min_tes
     tests, no solution. Missing columns of the raw schema must be supplied as nulls.
     """
     io = semi.parse_jsonish(F.col("input_output"))
-    part = lambda k: semi.texts_of_json_array(F.get_json_object(F.col("input_output"), f"$.{k}"))
+    raw = lambda k: F.get_json_object(F.col("input_output"), f"$.{k}")
+    part = lambda k: F.coalesce(semi.texts_of_json_array(raw(k)), F.array().cast("array<string>"))
     staged = df.select(
         "*", (semi.variant_kind(io) == "OBJECT").alias("_is_object"), F.coalesce(F.get_json_object("input_output", "$.fn_name"), F.lit("")).alias("_fn"),
-        F.coalesce(part("inputs"), F.array().cast("array<string>")).alias("_in"), F.coalesce(part("outputs"), F.array().cast("array<string>")).alias("_out"), solutions_of(F.col("solutions")).alias("_sol"),
+        part("inputs").alias("_in"), part("outputs").alias("_out"), semi.json_size(raw("inputs")).alias("_ni"), semi.json_size(raw("outputs")).alias("_no"), solutions_of(F.col("solutions")).alias("_sol"),
     )
     reason = (
         F.when(~F.coalesce("_is_object", F.lit(False)), "bad_tests")
         .when((F.col("_fn") != "") & F.lit(not include_function_tasks), "function_task")
-        .when((F.size("_in") < min_tests) | (F.size("_in") != F.size("_out")), "bad_tests")
+        .when((F.col("_ni") < min_tests) | (F.col("_ni") != F.col("_no")), "bad_tests")
         .when(F.coalesce(F.size("_sol"), F.lit(0)) < 1, "no_solution")
-        .when(F.size("_in") < 2, "bad_tests")
+        .when(F.col("_ni") < 2, "bad_tests")
     )
     repair, evals = split_cases(semi.zip_cases(F.col("_in"), F.col("_out")), ratio, max_repair, max_eval)
     title = F.coalesce(F.nullif("name", F.lit("")), F.format_string("Problem %d", F.col(index)))
