@@ -24,7 +24,7 @@ RESULT = (
     f"attempt_records ARRAY<STRUCT<attempt: INT, complexity: {_COMPLEXITY}, resource_verdict: {_VERDICT}, generated_code: STRING, repair_result: {_CANDIDATE}>>, "
     f"held_out_result {_CANDIDATE}, traces ARRAY<STRUCT<attempt: INT, stage: STRING, message: STRING>>"
 )
-REPORT = f"metadata MAP<STRING, STRING>, problems ARRAY<STRUCT<{RESULT.replace(' STRUCT', ': STRUCT').replace(' ARRAY', ': ARRAY').replace(' STRING,', ': STRING,').replace(' INT,', ': INT,')}>>"
+REPORT = f"metadata MAP<STRING, STRING>, problems ARRAY<STRUCT<{RESULT}>>"
 #: one candidate with its tests, for the sandbox
 CANDIDATE = f"candidate_id STRING, code STRING, tests {_CASE}, timeout_sec DOUBLE, suite STRING"
 CANDIDATE_RESULT = f"candidate_id STRING, compiled BOOLEAN, compile_error STRING, tests ARRAY<{_RUN}>"
