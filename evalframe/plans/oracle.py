@@ -174,23 +174,52 @@ x2 AS (SELECT {key}, unnest(string_split_regex(names, '\\s+')) AS variable, CAST
 bounds AS (SELECT {key}, variable, max(v) AS bound FROM x2 GROUP BY ALL)"""
 
 
-_EST = f"""
-WITH {_LAST}, {_bounds('s0', 'problem_id')},
-y0 AS (SELECT problem_id, {_field(_TRIMMED, 'time', 1)} AS tc FROM s0 JOIN o0 USING (problem_id)),
-y1 AS (SELECT problem_id, regexp_replace(trim(regexp_extract(replace(replace(replace(replace(lower(tc), '²', '^2'), '³', '^3'), 'time', ''), 'space', ''), 'o\\s*\\(([^)]+)\\)', 1)), '\\blog\\s+([a-z])', 'log(\\1)', 'g') AS e FROM y0),
-y2 AS (SELECT problem_id, unnest(string_split(e, '+')) AS term, generate_subscripts(string_split(e, '+'), 1) AS ti FROM y1),
-y3 AS (SELECT problem_id, ti, regexp_replace(regexp_replace(regexp_replace(trim(term), ' ', '*', 'g'), '\\*+', '*', 'g'), '^\\*+|\\*+$', '', 'g') AS flat FROM y2),
-y4 AS (SELECT problem_id, ti, flat, unnest(string_split(flat, '*')) AS tok FROM y3),
-y5 AS (SELECT problem_id, ti, flat, tok, CASE WHEN regexp_matches(tok, '^log2?\\(?([a-z][a-z0-9_]*)\\)?$') THEN regexp_extract(tok, '^log2?\\(?([a-z][a-z0-9_]*)\\)?$', 1)
-  WHEN regexp_matches(tok, '^([a-z][a-z0-9_]*)\\^([0-9]+)$') THEN regexp_extract(tok, '^([a-z][a-z0-9_]*)\\^', 1) ELSE tok END AS variable FROM y4),
-y6 AS (SELECT y5.problem_id, ti, flat, CASE WHEN tok IN ('', '1') THEN 1.0::DOUBLE WHEN regexp_matches(tok, '^log2?\\(?([a-z][a-z0-9_]*)\\)?$') THEN CASE WHEN bound IS NOT NULL THEN greatest(1.0::DOUBLE, log2(greatest(2.0::DOUBLE, bound::DOUBLE))) END
-  WHEN regexp_matches(tok, '^([a-z][a-z0-9_]*)\\^([0-9]+)$') THEN pow(bound::DOUBLE, regexp_extract(tok, '\\^([0-9]+)$', 1)::DOUBLE) WHEN regexp_matches(tok, '^[0-9]+$') THEN tok::DOUBLE ELSE bound::DOUBLE END AS f
-  FROM y5 LEFT JOIN bounds b ON b.problem_id = y5.problem_id AND b.variable = y5.variable),
-y7 AS (SELECT problem_id, ti, CASE WHEN any_value(flat) <> '' AND count(*) = count(f) THEN ceil(product(f)) END AS v FROM y6 GROUP BY problem_id, ti),
-y8 AS (SELECT problem_id, CASE WHEN count(*) = count(v) THEN sum(v) END AS total FROM y7 GROUP BY problem_id),
-y9 AS (SELECT y1.problem_id, e, total, (SELECT bound FROM bounds b WHERE b.problem_id = y1.problem_id AND b.variable = regexp_extract(e, '2\\^([a-z][a-z0-9_]*)', 1)) AS two FROM y1 LEFT JOIN y8 USING (problem_id))
-SELECT problem_id, e AS expression, round(CASE WHEN e = '' THEN NULL WHEN e = '1' THEN 1.0::DOUBLE WHEN regexp_matches(e, '2\\^([a-z][a-z0-9_]*)') THEN CASE WHEN two <= 60 THEN pow(2.0::DOUBLE, two) END ELSE total END, 0) AS operations FROM y9
-"""
+def _estimate(tag: str, field: str) -> str:
+    """CTEs that end in est<tag>(problem_id, e, v): the estimate of a complexity string of oracle_meta."""
+    log, power = "'^log2?\\(?([a-z][a-z0-9_]*)\\)?$'", "'^([a-z][a-z0-9_]*)\\^([0-9]+)$'"
+    return f"""
+y{tag}0 AS (SELECT problem_id, {field} AS tc FROM s0 JOIN o0 USING (problem_id)),
+y{tag}1 AS (SELECT problem_id, regexp_replace(trim(regexp_extract(replace(replace(replace(replace(lower(tc), '²', '^2'), '³', '^3'), 'time', ''), 'space', ''), 'o\\s*\\(([^)]+)\\)', 1)), '\\blog\\s+([a-z])', 'log(\\1)', 'g') AS e FROM y{tag}0),
+y{tag}2 AS (SELECT problem_id, unnest(string_split(e, '+')) AS term, generate_subscripts(string_split(e, '+'), 1) AS ti FROM y{tag}1),
+y{tag}3 AS (SELECT problem_id, ti, regexp_replace(regexp_replace(regexp_replace(trim(term), ' ', '*', 'g'), '\\*+', '*', 'g'), '^\\*+|\\*+$', '', 'g') AS flat FROM y{tag}2),
+y{tag}4 AS (SELECT problem_id, ti, flat, unnest(string_split(flat, '*')) AS tok FROM y{tag}3),
+y{tag}5 AS (SELECT problem_id, ti, flat, tok, CASE WHEN regexp_matches(tok, {log}) THEN regexp_extract(tok, {log}, 1) WHEN regexp_matches(tok, {power}) THEN regexp_extract(tok, {power}, 1) ELSE tok END AS variable FROM y{tag}4),
+y{tag}6 AS (SELECT t.problem_id, ti, flat, CASE WHEN tok IN ('', '1') THEN 1.0::DOUBLE WHEN regexp_matches(tok, {log}) THEN CASE WHEN bound IS NOT NULL THEN greatest(1.0::DOUBLE, log2(greatest(2.0::DOUBLE, bound::DOUBLE))) END
+  WHEN regexp_matches(tok, {power}) THEN pow(bound::DOUBLE, regexp_extract(tok, {power}, 2)::DOUBLE) WHEN regexp_matches(tok, '^[0-9]+$') THEN tok::DOUBLE ELSE bound::DOUBLE END AS f
+  FROM y{tag}5 t LEFT JOIN bounds b ON b.problem_id = t.problem_id AND b.variable = t.variable),
+y{tag}7 AS (SELECT problem_id, ti, CASE WHEN any_value(flat) <> '' AND count(*) = count(f) THEN ceil(product(f)) END AS v FROM y{tag}6 GROUP BY problem_id, ti),
+y{tag}8 AS (SELECT problem_id, CASE WHEN count(*) = count(v) THEN sum(v) END AS total FROM y{tag}7 GROUP BY problem_id),
+y{tag}9 AS (SELECT t.problem_id, e, total, (SELECT bound FROM bounds b WHERE b.problem_id = t.problem_id AND b.variable = regexp_extract(e, '2\\^([a-z][a-z0-9_]*)', 1)) AS two FROM y{tag}1 t LEFT JOIN y{tag}8 USING (problem_id)),
+est{tag} AS (SELECT problem_id, e, CASE WHEN e = '' THEN NULL WHEN e = '1' THEN 1.0::DOUBLE WHEN regexp_matches(e, '2\\^([a-z][a-z0-9_]*)') THEN CASE WHEN two <= 60 THEN pow(2.0::DOUBLE, two) END ELSE total END AS v FROM y{tag}9)"""
+
+
+_T = "(char|bool|short|int|float|long long|double)"
+
+
+def _memory(src: str, key: str) -> str:
+    """CTEs that end in mem(<key>, bytes) for rows (<key>, problem_id, code) of ``src`` with known sizes."""
+    static, vector = rf"(?i)\b{_T}\s+\w+\s*((?:\[[a-z0-9_]+\])+)", rf"(?i)\bvector\s*<\s*{_T}\s*>\s+\w+\s*\(\s*([a-z0-9_]+)\s*\)"
+    matrix = rf"(?i)vector\s*<\s*vector\s*<\s*{_T}\s*>\s*>\s+\w+\s*\(\s*([a-z0-9_]+)\s*,\s*vector\s*<[^>]+>\s*\(\s*([a-z0-9_]+)"
+    every = lambda p, i: f"regexp_extract_all(code, '{p}', {i})"
+    return f"""
+m0 AS (
+  SELECT {key}, problem_id, 's' || generate_subscripts({every(static, 1)}, 1) AS d, unnest({every(static, 1)}) AS t, unnest(list_transform({every(static, 2)}, lambda x: regexp_extract_all(lower(x), '\[([a-z0-9_]+)\]', 1))) AS dims FROM {src}
+  UNION ALL SELECT {key}, problem_id, 'v' || generate_subscripts({every(vector, 1)}, 1), unnest({every(vector, 1)}), unnest(list_transform({every(vector, 2)}, lambda x: [lower(x)])) FROM {src}
+  UNION ALL SELECT {key}, problem_id, 'm' || generate_subscripts({every(matrix, 1)}, 1), unnest({every(matrix, 1)}), unnest(list_transform(list_zip({every(matrix, 2)}, {every(matrix, 3)}), lambda x: [lower(x[1]), lower(x[2])])) FROM {src}
+), m1 AS (SELECT {key}, problem_id, d, t, unnest(dims) AS dim FROM m0),
+m2 AS (SELECT m1.{key}, d, t, CASE WHEN regexp_matches(dim, '^[0-9]+$') THEN dim::DOUBLE ELSE bound::DOUBLE END AS n FROM m1 LEFT JOIN bounds b ON b.problem_id = m1.problem_id AND b.variable = m1.dim),
+m3 AS (SELECT {key}, d, CASE lower(any_value(t)) WHEN 'char' THEN 1 WHEN 'bool' THEN 1 WHEN 'short' THEN 2 WHEN 'int' THEN 4 WHEN 'float' THEN 4 ELSE 8 END * product(n) AS bytes FROM m2 GROUP BY {key}, d HAVING count(*) = count(n) AND (d[1] <> 's' OR product(n) <> 0)),
+mem AS (SELECT {key}, sum(bytes) AS bytes FROM m3 GROUP BY {key})"""
+
+
+_EST = f"WITH {_LAST}, {_bounds('s0', 'problem_id')}, {_estimate('t', _field(_TRIMMED, 'time', 1))} SELECT problem_id, e AS expression, round(v, 0) AS operations FROM estt"
+_MEMORY = f"WITH {_LAST}, {_bounds('s0', 'problem_id')}, src AS (SELECT solution_id, problem_id, coalesce(code, '') AS code FROM solutions JOIN s0 USING (problem_id) WHERE solutions.language = 'cpp17'), {_memory('src', 'solution_id')} SELECT solution_id, bytes FROM src LEFT JOIN mem USING (solution_id)"
+_VERDICT = f"""WITH {_LAST}, {_bounds('s0', 'problem_id')}, {_estimate('t', _field(_TRIMMED, 'time', 1))}, {_estimate('s', _field(_TRIMMED, 'space', 2))},
+src AS (SELECT problem_id, coalesce(reference_solution, '') AS code FROM s0 JOIN o0 USING (problem_id)), {_memory('src', 'problem_id').replace('SELECT problem_id, problem_id,', 'SELECT problem_id,')},
+z AS (SELECT s0.problem_id, estt.v AS ops, greatest(mem.bytes, ests.v * 8) AS size, CAST(floor(coalesce(time_limit_sec, 2.0) * 100000000) AS BIGINT) AS budget, CAST(coalesce(memory_limit_mb, 256) AS BIGINT) * 1024 * 1024 AS room
+  FROM s0 JOIN o0 USING (problem_id) JOIN estt USING (problem_id) JOIN ests USING (problem_id) LEFT JOIN mem USING (problem_id)),
+st AS (SELECT *, CASE WHEN ops IS NULL THEN 'UNKNOWN' WHEN ops <= budget THEN 'PASS' ELSE 'FAIL' END AS ts, CASE WHEN size IS NULL THEN 'UNKNOWN' WHEN size <= room THEN 'PASS' ELSE 'FAIL' END AS ms FROM z)
+SELECT problem_id, ts AS time_status, ms AS memory_status, budget AS operation_budget, room AS memory_budget_bytes, CAST(ts <> 'PASS' AS INT) + CAST(ms <> 'PASS' AS INT) AS reasons FROM st"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -231,6 +260,8 @@ def oracle_sql() -> dict[str, str]:
         "format_reward": f"SELECT pair_id, round({case.format(c=cho, s='```cpp')} + {case.format(c=cho, s='Complexity:')} + CASE WHEN strpos({cho}, '#include') > 0 AND strpos({cho}, 'int main') > 0 THEN 0.2::DOUBLE ELSE 0.0 END, 9) AS reward FROM dpo_pairs",
         "variable_bounds": f"WITH {_bounds('problem_specs', 'spec_id')} SELECT spec_id, variable, bound FROM bounds",
         "complexity_estimate": _EST,
+        "code_memory": _MEMORY,
+        "resource_verdict": _VERDICT,
         "case_ids": "SELECT case_id, coalesce(nullif(id, ''), nullif(name, ''), printf('%s-%04d', coalesce(suite, 'test'), coalesce(pos, 0) + 1)) AS test_id FROM test_cases",
         "split_repair_eval": "WITH n AS (SELECT problem_id, count(*) AS n FROM test_cases WHERE problem_id IS NOT NULL GROUP BY problem_id HAVING count(*) > 1), k AS (SELECT *, least(n - 1, greatest(1, CAST(round_even(n * 0.7::DOUBLE, 0) AS BIGINT))) AS k FROM n) SELECT problem_id, n, least(k, 20) AS repair, least(n - k, 10) AS eval FROM k",
         "limit_on_success": "SELECT solution_id, verified FROM (SELECT *, coalesce(sum(CASE WHEN verified AND language = 'cpp17' THEN 1 ELSE 0 END) OVER (ORDER BY solution_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM solutions) WHERE done < 50",
