@@ -45,11 +45,12 @@ def near_duplicate_links(
     of short or null texts give empty results; a repeated id counts as one record per text.
     """
     sets = shingles.shingle_sets(df, id_col, *text_cols, shingles.words, k, min_words).drop("tag")
-    members = setjoin.set_classes(sets)
-    heads = members.where("id = rep").select("id").distinct()
-    uniq = sets.join(heads, "id", "left_semi")
-    pairs = setjoin.candidate_pairs(anchors_of(uniq, threshold), threshold, block)
-    return checkpointed(members), checkpointed(setjoin.verified(pairs, uniq, uniq, threshold))
+    keyed = sets.select("id", "n", F.xxhash64("sh").alias("g1"), F.hash("sh").alias("g2"), "sh")
+    classes = checkpointed(keyed.groupBy("n", "g1", "g2").agg(F.min("id").alias("rep"), F.any_value("sh").alias("sh")))
+    members = checkpointed(keyed.drop("sh").join(classes.drop("sh"), ["n", "g1", "g2"]).select("id", "rep"))
+    uniq = classes.select(F.col("rep").alias("id"), "n", "sh")
+    pairs = setjoin.candidate_pairs(checkpointed(anchors_of(uniq, threshold)), threshold, block)
+    return members, checkpointed(setjoin.verified(pairs, uniq, uniq, threshold))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_cols: tuple[str, str], **kw) -> DataFrame:

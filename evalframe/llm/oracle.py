@@ -45,5 +45,27 @@ WHERE 10 * c >= 6 * (x.n + y.n - c)
 """
 
 
+_P6 = P6_FOUND[: P6_FOUND.index("SELECT least(")]
+P6_REPORT = _P6 + r"""
+, l AS (SELECT e, max(c.c / x.n) AS containment FROM c JOIN n x ON x.case_id = e JOIN n y ON y.case_id = t WHERE 10 * c.c >= 6 * (x.n + y.n - c.c) GROUP BY e)
+SELECT suite, source, count(*) AS rows, count(l.e) AS overlapping, count(*) FILTER (l.containment >= 1) AS exact
+FROM test_cases k LEFT JOIN l ON l.e = k.case_id WHERE suite IS NOT NULL AND suite <> 'repair' GROUP BY suite, source
+"""
+
+#: windows of the least length, item against document, for each language's units
+_LEAKS = r"""
+WITH i AS (SELECT item_id, lower(lang) AS lang, CASE WHEN lower(lang) = 'zh' THEN regexp_replace(lower(text), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g') ELSE lower(text) END AS x FROM eval_items WHERE lower(lang) IN ('en', 'zh') AND text IS NOT NULL),
+iu AS (SELECT item_id, lang, CASE WHEN lang = 'zh' THEN 25 ELSE 12 END AS k, regexp_extract_all(x, '[\p{L}\p{N}]+') AS u FROM i),
+ig AS (SELECT DISTINCT item_id, lang, array_to_string(u[j : j + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(u) - k + 2)) AS j FROM iu)),
+du AS (
+  SELECT doc_id, 'en' AS lang, 12 AS k, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS u FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 'zh', 25, regexp_extract_all(regexp_replace(lower(text), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') FROM documents WHERE text IS NOT NULL
+), dg AS (SELECT doc_id, lang, array_to_string(u[j : j + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(u) - k + 2)) AS j FROM du)),
+hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (lang, g))
+"""
+P8_FOUND = _LEAKS + "SELECT doc_id, item_id FROM hit"
+P8_CLEAN = _LEAKS + "SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": _P2_COUNTS, "p6_found": P6_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": _P2_COUNTS, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}

@@ -65,10 +65,3 @@ def prefix_length(n: Column, threshold: tuple[int, int]) -> Column:
     """|S| - ceil(t * |S|) + 1 in whole numbers."""
     num, den = threshold
     return (n - F.floor((n * num + (den - 1)) / den) + 1).cast("int")
-
-
-def set_classes(sets: DataFrame) -> DataFrame:
-    """Membership of equal sets: id, rep (smallest id of the class). ``sets``: id, n, sh (sorted)."""
-    keyed = sets.select("id", F.col("n").alias("g0"), F.xxhash64("sh").alias("g1"), F.hash("sh").alias("g2"))
-    reps = keyed.groupBy("g0", "g1", "g2").agg(F.min("id").alias("rep"))
-    return keyed.join(reps, ["g0", "g1", "g2"]).select("id", "rep")
