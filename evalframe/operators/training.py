@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalframe.functions.text import complexity_fields, general_number, normalize_code, strip
 
@@ -58,6 +58,19 @@ def training_solution(solutions: Column, reference: Column) -> Column:
     return F.coalesce(F.try_element_at(ok, F.lit(1))["code"], reference, F.lit(""))
 
 
+def solution_picks(df: DataFrame, group: str, order: str, language: str = "language", code: str = "code", verified: str = "verified") -> DataFrame:
+    """O3, O3b, O3c, F1 over a long table: for each group the first code of each kind, and how many codes there are.
+
+    Columns: group, n, vcpp, acpp (first verified, first C++), vpy, apy. Plain aggregates that combine before
+    the shuffle, so a group of any size is no list anywhere. Rows without a group or code are left out.
+    """
+    rows = df.where(F.col(group).isNotNull() & (F.coalesce(code, F.lit("")) != ""))
+    ok = F.coalesce(verified, F.lit(False))
+    first = lambda cond: F.min_by(F.when(cond, F.col(code)), F.when(cond, F.col(order)))
+    cpp, py = F.col(language).eqNullSafe("cpp17"), F.col(language).eqNullSafe("python3")
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), first(cpp & ok).alias("vcpp"), first(cpp).alias("acpp"), first(py & ok).alias("vpy"), first(py).alias("apy"))
+
+
 def has_verified_cpp(solutions: Column) -> Column:
     """F1."""
     return F.coalesce(F.exists(solutions, lambda s: (s["language"] == "cpp17") & F.coalesce(s["verified"], F.lit(False))), F.lit(False))
@@ -111,7 +124,8 @@ def failure_pairs(failed: DataFrame, bundles: DataFrame, order: list[str], reaso
     ``failed``: problem_id, failure_reason, failed_code, time_complexity, space_complexity and the order
     columns. ``bundles``: problem_id, bundle_ord, prompt, answer, cpp; of repeated ids the last one holds.
     An empty ``reasons`` lets all through. The lookup is an ordinary left join (its strategy is the
-    planner's choice by size), and only rows that pass all other rules compete for keep-first.
+    planner's choice by size), and only rows that pass all other rules compete for keep-first (a minimum, so
+    a group of any size combines before the shuffle). The order must be unique.
     """
     last = bundles.groupBy("problem_id").agg(F.max_by(F.struct("prompt", "answer", "cpp"), "bundle_ord").alias("b"))
     joined = failed.withColumn("problem_id", F.coalesce("problem_id", F.lit(""))).join(last, "problem_id", "left")
@@ -120,10 +134,10 @@ def failure_pairs(failed: DataFrame, bundles: DataFrame, order: list[str], reaso
     outcome = (
         F.when(~why.isin(*reasons), "skipped_failure_reason") if reasons else F.when(F.lit(False), "")
     ).when(F.col("b").isNull(), "skipped_no_problem").when(chosen == "", "skipped_no_verified_cpp").when(code == "", "skipped_no_failed_code").when(F.col("norm") == normalize_code(chosen), "skipped_same_as_chosen")
-    tagged = joined.withColumn("norm", normalize_code(code)).withColumn("outcome", outcome)
-    first = F.row_number().over(Window.partitionBy("problem_id", "norm_key", F.col("outcome").isNull()).orderBy(*order))
-    keyed = tagged.withColumn("norm_key", F.sha2("norm", 256)).withColumn("place", first)
-    final = F.coalesce("outcome", F.when(F.col("place") > 1, F.lit("skipped_duplicate")).otherwise(F.lit("written")))
+    keyed = joined.withColumn("norm", normalize_code(code)).withColumn("outcome", outcome).withColumn("norm_key", F.sha2("norm", 256)).withColumn("_at", F.struct(*order))
+    firsts = keyed.where("outcome is null").groupBy("problem_id", "norm_key").agg(F.min("_at").alias("_first"))
+    keyed = keyed.join(firsts, ["problem_id", "norm_key"], "left")
+    final = F.coalesce("outcome", F.when(F.col("_at") == F.col("_first"), F.lit("written")).otherwise(F.lit("skipped_duplicate")))
     return keyed.select(
         *order, "problem_id", final.alias("outcome"), F.col("b.prompt").alias("prompt"), F.col("b.answer").alias("chosen"),
         rejected_answer(F.col("time_complexity"), F.col("space_complexity"), code).alias("rejected"), why.alias("failure_reason"), F.coalesce("diagnostic_summary", F.lit("")).alias("diagnostic_summary"),

@@ -85,8 +85,8 @@ def _fails(k: str, ty: str, n: str) -> str:
 
 _RUNS = """
 WITH e AS (
-  SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events
-), a AS (SELECT 'u' || user_id || '-' || (i // 4) AS problem_id, i % 4 + 1 AS attempt, event_id, event_type, value, k FROM e),
+  SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, row_number() OVER (PARTITION BY user_id, event_id // 256 ORDER BY ts, event_id) AS i FROM events
+), a AS (SELECT 'u' || user_id || '-' || (event_id // 256) AS problem_id, i AS attempt, event_id, event_type, value, k FROM e),
 p AS (
   SELECT problem_id, count(*) AS attempts, arg_max(event_id, attempt) AS ord, arg_max(event_type, attempt) AS lt, arg_max(value, attempt) AS lv, arg_max(k, attempt) AS lk,
     arg_min(event_type, attempt) FILTER (event_type <> 'view') AS ft, arg_max(event_type, attempt) FILTER (event_type <> 'view') AS xt,
@@ -201,7 +201,7 @@ def _memory(src: str, key: str) -> str:
     static, vector = rf"(?i)\b{_T}\s+\w+\s*((?:\[[a-z0-9_]+\])+)", rf"(?i)\bvector\s*<\s*{_T}\s*>\s+\w+\s*\(\s*([a-z0-9_]+)\s*\)"
     matrix = rf"(?i)vector\s*<\s*vector\s*<\s*{_T}\s*>\s*>\s+\w+\s*\(\s*([a-z0-9_]+)\s*,\s*vector\s*<[^>]+>\s*\(\s*([a-z0-9_]+)"
     every = lambda p, i: f"regexp_extract_all(code, '{p}', {i})"
-    return f"""
+    return rf"""
 m0 AS (
   SELECT {key}, problem_id, 's' || generate_subscripts({every(static, 1)}, 1) AS d, unnest({every(static, 1)}) AS t, unnest(list_transform({every(static, 2)}, lambda x: regexp_extract_all(lower(x), '\[([a-z0-9_]+)\]', 1))) AS dims FROM {src}
   UNION ALL SELECT {key}, problem_id, 'v' || generate_subscripts({every(vector, 1)}, 1), unnest({every(vector, 1)}), unnest(list_transform({every(vector, 2)}, lambda x: [lower(x)])) FROM {src}
@@ -268,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "verified_filter": f"WITH {_LAST} SELECT problem_id, n FROM l0 WHERE vcpp IS NOT NULL",
         "best_solution": f"WITH {_LAST} SELECT problem_id, md5(coalesce(vcpp, acpp, reference_solution, '')) AS best, md5(coalesce(vpy, apy, '')) AS best_python, md5(coalesce(vcpp, reference_solution, '')) AS training FROM l0 FULL JOIN o0 USING (problem_id)",
         "tag_union": "WITH u AS (SELECT oracle_id, list_filter(list_concat(coalesce(tags, []), [difficulty], [source]), lambda x: x IS NOT NULL AND x <> '') AS l FROM oracle_meta) SELECT oracle_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS tags FROM u",
-        "convert_manifest": f"WITH {_LAST}, n AS (SELECT problem_id, count(*) AS n FROM test_cases WHERE problem_id IS NOT NULL GROUP BY problem_id), c AS (SELECT CASE WHEN spec_id % 17 = 0 THEN 'bad_tests' WHEN spec_id % 19 = 0 THEN 'function_task' WHEN coalesce(n.n, 0) < 2 THEN 'bad_tests' WHEN l0.n IS NULL THEN 'no_solution' ELSE 'written' END AS outcome FROM problem_specs p LEFT JOIN n ON n.problem_id = p.problem_id LEFT JOIN l0 ON l0.problem_id = p.problem_id) SELECT outcome, count(*) AS n FROM c GROUP BY outcome",
+        "convert_manifest": f"WITH {_LAST}, n AS (SELECT problem_id, case_id // 64 AS block, min(case_id) AS i, count(*) AS n FROM test_cases WHERE problem_id IS NOT NULL GROUP BY ALL), c AS (SELECT CASE WHEN i % 17 = 0 THEN 'bad_tests' WHEN i % 19 = 0 THEN 'function_task' WHEN n.n < 2 THEN 'bad_tests' WHEN coalesce(vcpp, acpp, vpy, apy) IS NULL THEN 'no_solution' ELSE 'written' END AS outcome FROM n LEFT JOIN l0 ON l0.problem_id = n.problem_id) SELECT outcome, count(*) AS n FROM c GROUP BY outcome",
         "prompts": f"{_BUNDLES} SELECT problem_id, md5(prompt) AS prompt_md5 FROM b",
         "sft_records": f"{_BUNDLES} SELECT problem_id, md5(prompt) AS input_md5, md5(answer) AS output_md5 FROM b WHERE cpp <> ''",
         "template_dpo_records": f"{_BUNDLES} SELECT problem_id, md5(answer) AS chosen_md5, {len(t.PLACEHOLDER_REJECT)} AS rejected_chars FROM b WHERE cpp <> ''",

@@ -175,12 +175,13 @@ def limit_on_success(spark: S, d: str) -> D:
 
 
 def verified_filter(spark: S, d: str) -> D:
-    return views.solution_lists(spark, d).where(training.has_verified_cpp(F.col("solutions"))).select("problem_id", F.size("solutions").alias("n"))
+    return views.picks(spark, d).where("vcpp is not null").select("problem_id", "n")
 
 
 def best_solution(spark: S, d: str) -> D:
-    j = views.solution_lists(spark, d).join(views.oracles(spark, d), "problem_id", "full")
-    return j.select("problem_id", F.md5(training.best_solution(F.col("solutions"), F.col("reference_solution"))).alias("best"), F.md5(training.best_solution(F.col("solutions"), F.col("reference_solution"), "python3")).alias("best_python"), F.md5(training.training_solution(F.col("solutions"), F.col("reference_solution"))).alias("training"))
+    j = views.picks(spark, d).join(views.oracles(spark, d), "problem_id", "full")
+    none = F.lit("")
+    return j.select("problem_id", F.md5(F.coalesce("vcpp", "acpp", "reference_solution", none)).alias("best"), F.md5(F.coalesce("vpy", "apy", none)).alias("best_python"), F.md5(F.coalesce("vcpp", "reference_solution", none)).alias("training"))
 
 
 def tag_union(spark: S, d: str) -> D:
@@ -194,16 +195,16 @@ def convert_manifest(spark: S, d: str) -> D:
 
 
 def raw_rows(spark: S, d: str) -> D:
-    """The raw dataset shape: JSON-encoded tests and solutions, one row a problem specification."""
-    p = table(spark, d, "problem_specs")
-    cases = table(spark, d, "test_cases").where("problem_id is not null").groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct("case_id", "stdin", "expected_stdout"))).alias("cs"))
+    """The raw dataset shape, JSON-encoded tests and solutions: one row for a problem's tests in each block of 64 case ids."""
+    cases = table(spark, d, "test_cases").where("problem_id is not null").withColumn("block", F.floor(F.col("case_id") / 64))
+    cases = cases.groupBy("problem_id", "block").agg(F.min("case_id").alias("row_index"), F.sort_array(F.collect_list(F.struct("case_id", "stdin", "expected_stdout"))).alias("cs"))
     io = F.to_json(F.struct(F.transform("cs", lambda c: F.coalesce(c["stdin"], F.lit(""))).alias("inputs"), F.transform("cs", lambda c: F.coalesce(c["expected_stdout"], F.lit(""))).alias("outputs")))
-    codes = F.to_json(F.transform("solutions", lambda s: s["code"]))
-    j = p.join(cases, "problem_id", "left").join(views.solution_lists(spark, d), "problem_id", "left")
-    null = F.lit(None).cast("string")
+    codes = F.to_json(F.array_distinct(F.array_compact(F.array("vcpp", "acpp", "vpy", "apy"))))
+    j = cases.join(views.specs(spark, d), "problem_id", "left").join(views.picks(spark, d), "problem_id", "left")
+    null, i = F.lit(None).cast("string"), F.col("row_index")
     return j.select(
-        F.col("spec_id").alias("row_index"), F.col("title").alias("name"), F.col("statement").alias("question"), F.when(F.col("spec_id") % 17 == 0, "not json").when(F.col("spec_id") % 19 == 0, '{"fn_name": "f", "inputs": [1], "outputs": [2]}').otherwise(io).alias("input_output"), codes.alias("solutions"),
-        null.alias("difficulty"), F.lit('["a", "b"]').alias("tags"), F.lit("b").alias("raw_tags"), null.alias("skill_types"), "source", null.alias("url"), F.lit("1.5 seconds").alias("time_limit"), F.lit("128 megabytes").alias("memory_limit"),
+        "row_index", F.col("title").alias("name"), F.col("statement").alias("question"), F.when(i % 17 == 0, "not json").when(i % 19 == 0, '{"fn_name": "f", "inputs": [1], "outputs": [2]}').otherwise(io).alias("input_output"), codes.alias("solutions"),
+        null.alias("difficulty"), F.lit('["a", "b"]').alias("tags"), F.lit("b").alias("raw_tags"), null.alias("skill_types"), null.alias("source"), null.alias("url"), F.lit("1.5 seconds").alias("time_limit"), F.lit("128 megabytes").alias("memory_limit"),
         F.lit("O(n)").alias("Expected Time Complexity"), null.alias("Expected Auxiliary Space"), null.alias("expected_time_complexity"), null.alias("expected_space_complexity"),
     )
 

@@ -4,22 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from evalframe.operators.training import gold_answer, prompt, training_solution
+from evalframe.operators.training import gold_answer, prompt, solution_picks
 from evalframe.session import table
 
-#: attempts of one run
-PER_RUN = 4
+#: events a block: no run has more attempts than that
+BLOCK = 256
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
-    """One row an event, read as an attempt of a run of at most four: run id, position and outcome."""
-    e = table(spark, d, "events")
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    base = e.select("event_id", "user_id", "event_type", "value", (rn - 1).alias("i"), F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return base.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("i") / PER_RUN).cast("string")).alias("problem_id"),
-        (F.col("i") % PER_RUN + 1).cast("int").alias("attempt"), "event_id", "event_type", "value", "k",
-    )
+    """One row an event, read as an attempt of a run: a user's events in one block of event ids."""
+    e = table(spark, d, "events").withColumn("block", F.floor(F.col("event_id") / BLOCK))
+    rn = F.row_number().over(Window.partitionBy("user_id", "block").orderBy("ts", "event_id"))
+    run = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("block").cast("string"))
+    return e.select(run.alias("problem_id"), rn.alias("attempt"), "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 def _runs(k, etype, value, suite: str, n):
@@ -77,16 +74,13 @@ def oracles(spark: SparkSession, d: str) -> DataFrame:
     return last_by_problem(table(spark, d, "oracle_meta"), "oracle_id", ["oracle_id", "tags", "expected_complexity", "reference_solution"])
 
 
-def solution_lists(spark: SparkSession, d: str) -> DataFrame:
-    """problem_id, solutions: ordered array of non-empty codes."""
-    s = table(spark, d, "solutions").where("problem_id is not null and coalesce(code, '') <> ''")
-    each = s.select("problem_id", F.struct("solution_id", "language", "code", "verified").alias("x"))
-    return each.groupBy("problem_id").agg(F.sort_array(F.collect_list("x")).alias("solutions"))
+def picks(spark: SparkSession, d: str) -> DataFrame:
+    return solution_picks(table(spark, d, "solutions"), "problem_id", "solution_id")
 
 
 def bundles(spark: SparkSession, d: str) -> DataFrame:
     """problem_id, bundle_ord, prompt, answer, cpp."""
-    b = specs(spark, d).join(oracles(spark, d), "problem_id", "left").join(solution_lists(spark, d), "problem_id", "left")
+    b = specs(spark, d).join(oracles(spark, d), "problem_id", "left").join(picks(spark, d), "problem_id", "left")
     spec = {c: F.col(c) for c in ("title", "statement", "input_format", "output_format", "constraints", "language", "time_limit_sec", "memory_limit_mb")}
-    cpp = training_solution(F.col("solutions"), F.col("reference_solution"))
+    cpp = F.coalesce("vcpp", "reference_solution", F.lit(""))
     return b.select("problem_id", F.col("spec_id").alias("bundle_ord"), prompt(spec).alias("prompt"), cpp.alias("cpp"), gold_answer(F.col("tags"), F.col("expected_complexity"), cpp).alias("answer"))
