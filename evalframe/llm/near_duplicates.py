@@ -19,7 +19,7 @@ from evalframe.session import checkpointed
 
 
 def anchors_of(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """h, id, n: the anchors each set is replicated to.
+    """h, id, n, pos: the anchors each set is replicated to, and their ranks in it.
 
     Shingles are ordered by how many sets hold them, rarest first. One that a single set holds is no
     meeting place but still counts towards the prefix, so most unrelated records drop out here.
@@ -32,7 +32,8 @@ def anchors_of(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     )
     room = setjoin.prefix_length(F.col("n"), threshold) - (F.col("n") - F.col("m"))
     kept = own.withColumn("room", room.cast("int")).where("room > 0")
-    return kept.select("id", "n", F.explode(F.expr("slice(by_df, 1, room)")).alias("x")).select("x.h", "id", "n")
+    each = kept.select("id", "n", "m", F.posexplode(F.expr("slice(by_df, 1, room)")).alias("at", "x"))
+    return each.select("x.h", "id", "n", (F.col("n") - F.col("m") + F.col("at")).alias("pos"))
 
 
 def near_duplicate_links(

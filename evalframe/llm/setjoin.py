@@ -29,27 +29,26 @@ def meeting_anchors(anchored: DataFrame, block: int, sides: bool) -> DataFrame:
 
 
 def candidate_pairs(anchored: DataFrame, threshold: tuple[int, int], block: int = 4096, sides: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) of ids that meet at an anchor, a < b, passing the size filter.
+    """Distinct pairs (a, b) of ids that meet at an anchor, a < b, and may still reach the threshold there.
 
-    ``anchored``: h (anchor), id, n (set size) and, when ``sides``, a boolean ``side``: then only pairs
-    of different sides meet, as a = the false side and b = the true side. An anchor with more than
-    ``block`` sets is cut into blocks, and each pair of blocks is a join key of its own, so no task gets
-    an unbounded list.
+    ``anchored``: h (anchor), id, n (set size), pos (the anchor's rank in the set, from 0, in the common
+    order) and, when ``sides``, a boolean ``side``: then only pairs of different sides meet, as a = the
+    false side and b = the true side. At the first anchor that two sets share, nothing before it is common,
+    so their overlap is at most what is left from there on; pairs for which that is too little at every
+    anchor are no candidates. An anchor with more than ``block`` sets is cut into blocks, and each pair of
+    blocks is a join key of its own, so no task gets an unbounded list.
     """
     num, den = threshold
     rows = meeting_anchors(anchored, block, sides)
     rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     every = F.sequence(F.lit(0), F.col("nb") - 1)
-    if sides:
-        left = rows.where(~F.col("side")).select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("i"), F.explode(every).alias("j"))
-        right = rows.where(F.col("side")).select("h", F.col("id").alias("b"), F.col("n").alias("nb_"), F.explode(every).alias("i"), F.col("k").alias("j"))
-        ordered: Column = F.lit(True)
-    else:
-        left = rows.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("i"), F.explode(every).alias("j"))
-        right = rows.select("h", F.col("id").alias("b"), F.col("n").alias("nb_"), F.explode(every).alias("i"), F.col("k").alias("j"))
-        ordered = F.col("a") < F.col("b")
-    fits = (F.least("na", "nb_") * den) >= (F.greatest("na", "nb_") * num)
-    return left.join(right, ["h", "i", "j"]).where(ordered & fits).select("a", "b").distinct()
+    one, two = (rows.where(~F.col("side")), rows.where(F.col("side"))) if sides else (rows, rows)
+    left = one.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("k").alias("i"), F.explode(every).alias("j"))
+    right = two.select("h", F.col("id").alias("b"), F.col("n").alias("nb_"), F.col("pos").alias("pb"), F.explode(every).alias("i"), F.col("k").alias("j"))
+    ordered: Column = F.lit(True) if sides else F.col("a") < F.col("b")
+    need = F.ceil((F.col("na") + F.col("nb_")) * num / (num + den) - 1e-9)
+    enough = (F.col("na") - F.col("pa") >= need) & (F.col("nb_") - F.col("pb") >= need)
+    return left.join(right, ["h", "i", "j"]).where(ordered & enough).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: tuple[int, int]) -> DataFrame:

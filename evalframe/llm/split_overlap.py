@@ -24,7 +24,7 @@ def split_overlap_links(
     keyed = sets.select("id", "suite", "side", "n", F.xxhash64("sh").alias("g1"), F.hash("sh").alias("g2"), prefix.alias("prefix"))
     classes = keyed.groupBy("side", "n", "g1", "g2").agg(F.min("id").alias("rep"), F.any_value("prefix").alias("prefix"))
     members = keyed.drop("prefix").join(classes.drop("prefix"), ["side", "n", "g1", "g2"]).select("id", "suite", "rep", "side")
-    anchored = classes.select(F.col("rep").alias("id"), "side", "n", F.explode("prefix").alias("h"))
+    anchored = classes.select(F.col("rep").alias("id"), "side", "n", F.posexplode("prefix").alias("pos", "h"))
     pairs = setjoin.candidate_pairs(anchored, threshold, block, sides=True)
     links = setjoin.verified(pairs, sets.where(~F.col("side")), sets.where("side"), threshold)
     return members, links
