@@ -59,7 +59,7 @@ def shard_matches(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, in
     pieces, starts, at = [], [], 0
     for text in texts:
         get = number.get
-        pieces.append(np.array([get(w, 0) for w in index.unit.findall(text.lower())] if text and not (index.needs_han and not _HAN.search(text)) else [], dtype=np.int32))
+        pieces.append(np.array([get(w.lower(), 0) for w in index.unit.findall(text)] if text and not (index.needs_han and not _HAN.search(text)) else [], dtype=np.int32))
         starts.append(at)
         at += len(pieces[-1]) + 1
     seq = np.zeros(at + least, dtype=np.int32)

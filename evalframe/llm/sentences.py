@@ -22,7 +22,8 @@ _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _LOWER_WORD = r"(?:[a-zà-öø-ÿß]{2,}\b(?![.A-Z])|[а-яё])"
 
 #: Cascading tables: (table, break?, before, after). Before-patterns end at the position, after-patterns
-#: begin at the next character that is no white space. The abbreviations are fixed values.
+#: begin at the next character that is no white space. Before-patterns ignore letter case, after-patterns do
+#: not. The abbreviations are fixed values.
 RULES: list[tuple[str, bool, str, str]] = [
     # speech and dots that the sentence goes on after
     ("quotes", False, r"[!?.…。！？।؟]+[\"”’»“]", r"[,;:،؛—–\-]"),
@@ -32,6 +33,12 @@ RULES: list[tuple[str, bool, str, str]] = [
     ("quotes", False, r"[!?.…]+\"", r"\S{1,40}[가이은는] ?(?:말|썼|물|답|적|외|전|덧)"),
     ("dots", False, r"(?:\.{2,}|…+)", _LOWER_WORD),
     ("dots", False, r"…+", rf"[{_CJK}]"),
+    # text in capitals, where the next word's case tells nothing
+    ("capitals", False, r"[!?.…]+[\"”’»“]", r"(?:ASKED|WONDERED|SAID|WROTE|REPLIED|AND|BUT)\b"),
+    ("capitals", False, r"(?-i:\.{2,}|…+)", r"(?:AND|OR|BUT)\b"),
+    ("capitals", False, r"(?<!\w)(?-i:ET AL)\.", r"[A-Z]{2,}"),
+    ("capitals", False, r"(?<!\w)(?-i:[AP]\.M)\.", r"(?:ON|AND|OR|IN|AT|TO|FOR|WITH|THE)\b"),
+    ("capitals", True, r"(?<!\w)(?-i:Т\.\s?[ДПК])\.", r"[А-ЯЁ«]"),
     # abbreviations that never end a sentence
     ("en", False, r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|St|Messrs|vs|cf|e\.g|i\.e|n\.b|N\.B|viz|resp|incl|approx)\.", r"\S"),
     ("en", False, r"(?<!\w)(?:Figs?|Secs?|Eqs?|Tabs?|Ch|[Nn]os?|vol|pp?|ver|v|Art|[Rr]ef|approx|ca)\.", r"[\d#(~≈]"),
@@ -42,7 +49,7 @@ RULES: list[tuple[str, bool, str, str]] = [
     ("ru", False, r"(?<!\w)(?:т\.\s?[дпк]|др|гг?|руб|коп|пр)\.", r"[а-яё]"),
     ("hi", False, r"(?<!\w)(?:डॉ|डा|श्री|प्रो|कु|पं|सं|क्र|पृ)\.", r"\S"),
     ("ar", False, r"(?<!\w)(?:ص|د|أ|م|ج|ت|هـ|رقم)\.", r"\S"),
-    ("initials", False, r"(?<![\w.])[A-ZÀ-ÖØ-ÞА-ЯЁ]\.", r"[A-ZÀ-ÖØ-ÞА-ЯЁa-zà-ÿа-яё]"),
+    ("initials", False, r"(?<![\w.])(?-i:[A-ZÀ-ÖØ-ÞА-ЯЁ])\.", r"[A-ZÀ-ÖØ-ÞА-ЯЁa-zà-ÿа-яё]"),
     # abbreviations that may end one: they do not before a word in lower case
     ("en", False, r"(?<!\w)(?:et al|etc|[ap]\.m|Inc|Ltd|Co|Jr|Sr|usw|etc)\.", rf"(?:{_LOWER_WORD}|[,;:)])"),
     # terminators
@@ -50,9 +57,9 @@ RULES: list[tuple[str, bool, str, str]] = [
     ("breaks", True, r"\.+[\"”’»“」』)）\]}]*|…+[\"”’»“」』)）\]}]*", r""),
     ("th", True, r"[฀-๿]", r"[฀-๿]"),
 ]
-_COMPILED = [(table, brk, re.compile(rf"(?:{b})\Z"), re.compile(a) if a else None) for table, brk, b, a in RULES]
+_COMPILED = [(table, brk, re.compile(rf"(?:{b})\Z", re.I), re.compile(a) if a else None) for table, brk, b, a in RULES]
 #: no rule but a break can match after a full stop that none of these ends with, nor after these marks
-_SPECIAL = re.compile("(?:" + "|".join(f"(?:{b})" for _, brk, b, _ in RULES if not brk) + r")\Z")
+_SPECIAL = re.compile("(?:" + "|".join(f"(?:{b})" for table, brk, b, _ in RULES if not brk or table == "capitals") + r")\Z", re.I)
 _PLAIN_STOPS = set("。！？।॥؟۔!?")
 
 _PAIRS = re.compile(

@@ -322,6 +322,11 @@ def test_spaced_sentences(units):
         assert cut(sep.join(units)) == units
 
 
+def test_capitals():
+    units = ["DR. MEIGRIV OBJECTED THAT A TABLE BREAKS WHEN N EQUALS 2538.", "THE BOUND IS APPROX. 61.57 TIMES TIGHTER.", '"DOES IT EVER OVERFLOW?" ASKED STOUN.', "SEC. 5 SHOWS THAT X ET AL. COPY IT.", "IT NEEDS O(N) TIME... AND 5 MB.", "IT RAN AT 5 P.M. ON DAY 19.", "OUR SAMPLE HOLDS DIALS, ETC.", "THE RUN STARTED AT 2 A.M.", "Given the order of beads, decide.", "BY T. TRUND, E.G. OVER THE BRIDGES."]
+    assert cut(" ".join(units)) == units
+
+
 def test_unspaced_sentences():
     zh = ["“川棠会溢出吗？”出题人问道，其实够了。", "先做滑动窗口……再把结果输出！", "（沃砚的第38组齿轮重复。）", "岑舟写道：“第30组错了。请看r.py。”然后离开了。", "为什么？"]
     ja = ["「aは66.5倍速い。」とStendは書いた。", "解法は9.9秒で終わる！", "なぜb.pyは止まるのか？"]
