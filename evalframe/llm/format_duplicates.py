@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from evalframe.llm.answers import letters_digits, parse_answer
-from evalframe.session import spread
+from evalframe.session import checkpointed, spread
 
 #: bits of the map between the two scans (2 MB)
 MAP_BITS = 1 << 24
@@ -110,6 +110,6 @@ def format_classes(df: DataFrame, id_col: str, text_col: str, fields: Callable[[
     """
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     bitmap = _bitmap(rows.mapInArrow(_level1(fields), "n int, hist long, slot int"))
-    keyed = rows.mapInArrow(_level2(fields, bitmap), "id long, n int, hist long, digest binary")
+    keyed = checkpointed(rows.mapInArrow(_level2(fields, bitmap), "id long, n int, hist long, digest binary"))
     kept = keyed.groupBy("n", "hist", "digest").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return keyed.join(kept, ["n", "hist", "digest"]).select("id", "kept_id", "copies")
