@@ -6,8 +6,10 @@ from pyspark.sql import Column, functions as F
 
 #: Unicode white space as a regular-expression class, control separators included.
 WS = r"[\s\x1c-\x1f]"
-_TAIL_WS = rf"(?U){WS}+\z"
-_BOTH_WS = rf"(?U)\A{WS}+|{WS}+\z"
+# A run is entered at its start only and never given back, so long runs of blanks stay linear.
+_BOTH_WS = rf"(?U)\A{WS}++|(?<!{WS}){WS}++\z"
+_INLINE = r"[\s\x1c-\x1f&&[^\n]]"
+_LINE_TAIL = rf"(?U)(?<!{_INLINE}){_INLINE}++(?=\n|\z)"
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 # Labels and patterns of the answer format.
@@ -28,13 +30,13 @@ def strip(c: Column | str) -> Column:
 
 
 def rstrip_lines(c: Column, ends: str) -> Column:
-    lines = F.split(c, ends, -1)
-    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, _TAIL_WS, "")), "\n")
+    """Line ends made newlines, white space before them removed."""
+    return F.regexp_replace(F.regexp_replace(c, ends, "\n"), _LINE_TAIL, "")
 
 
 def normalize_output(c: Column | str) -> Column:
     """One kind of line end, no white space at line ends, no empty lines at the end."""
-    return F.regexp_replace(rstrip_lines(_col(c), "\r\n|\r|\n"), r"\n+\z", "")
+    return F.regexp_replace(rstrip_lines(_col(c), "\r\n|\r"), r"(?<!\n)\n++\z", "")
 
 
 def normalize_code(c: Column | str) -> Column:

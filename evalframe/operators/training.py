@@ -127,14 +127,16 @@ def failure_pairs(failed: DataFrame, bundles: DataFrame, order: list[str], reaso
     planner's choice by size), and only rows that pass all other rules compete for keep-first (a minimum, so
     a group of any size combines before the shuffle). The order must be unique.
     """
-    last = bundles.groupBy("problem_id").agg(F.max_by(F.struct("prompt", "answer", "cpp"), "bundle_ord").alias("b"))
-    joined = failed.withColumn("problem_id", F.coalesce("problem_id", F.lit(""))).join(last, "problem_id", "left")
+    key = lambda c: F.sha2(normalize_code(F.coalesce(c, F.lit(""))), 256)
+    last = bundles.groupBy("problem_id").agg(F.max_by(F.struct("prompt", "answer", "cpp"), "bundle_ord").alias("b")).withColumn("cpp_key", key(F.col("b.cpp")))
+    mine = failed.withColumns({"problem_id": F.coalesce("problem_id", F.lit("")), "norm_key": key(F.col("failed_code")), "_at": F.struct(*order)})
+    joined = mine.join(last, "problem_id", "left")
     code, chosen = F.coalesce("failed_code", F.lit("")), F.coalesce(F.col("b.cpp"), F.lit(""))
     why = F.coalesce("failure_reason", F.lit(""))
     outcome = (
         F.when(~why.isin(*reasons), "skipped_failure_reason") if reasons else F.when(F.lit(False), "")
-    ).when(F.col("b").isNull(), "skipped_no_problem").when(chosen == "", "skipped_no_verified_cpp").when(code == "", "skipped_no_failed_code").when(F.col("norm") == normalize_code(chosen), "skipped_same_as_chosen")
-    keyed = joined.withColumn("norm", normalize_code(code)).withColumn("outcome", outcome).withColumn("norm_key", F.sha2("norm", 256)).withColumn("_at", F.struct(*order))
+    ).when(F.col("b").isNull(), "skipped_no_problem").when(chosen == "", "skipped_no_verified_cpp").when(code == "", "skipped_no_failed_code").when(F.col("norm_key") == F.col("cpp_key"), "skipped_same_as_chosen")
+    keyed = joined.withColumn("outcome", outcome)
     firsts = keyed.where("outcome is null").groupBy("problem_id", "norm_key").agg(F.min("_at").alias("_first"))
     keyed = keyed.join(firsts, ["problem_id", "norm_key"], "left")
     final = F.coalesce("outcome", F.when(F.col("_at") == F.col("_first"), F.lit("written")).otherwise(F.lit("skipped_duplicate")))
