@@ -29,10 +29,12 @@ def case_ids(cases: Column, prefix: str) -> Column:
 
 def solutions_of(raw: Column) -> Column:
     """Distinct non-empty codes of a JSON list of strings or objects, each with its detected language."""
-    items = semi.list_text(raw)
-    field = lambda s, k: F.nullif(F.get_json_object(s, f"$.{k}"), F.lit(""))
-    code = lambda s: F.when(F.startswith(F.ltrim(s), F.lit("{")), F.coalesce(field(s, "code"), field(s, "solution"), field(s, "text"), F.when(~semi.is_json(s), s))).otherwise(s)
-    codes = F.array_distinct(F.filter(F.transform(items, code), lambda s: F.coalesce(s, F.lit("")) != ""))
+    v = semi.parse_jsonish(raw)
+    items = F.when(semi.variant_kind(v) == "ARRAY", v.try_cast("array<variant>")).otherwise(F.array(v))
+    field = lambda x, k: F.nullif(F.get_json_object(F.to_json(x), f"$.{k}"), F.lit(""))
+    pick = lambda x: F.when(semi.variant_kind(x) == "STRING", F.try_variant_get(x, "$", "string")).when(semi.variant_kind(x) == "OBJECT", F.coalesce(field(x, "code"), field(x, "solution"), field(x, "text")))
+    found = F.when(v.isNull(), F.array(F.when(text.strip(raw) != "", raw))).otherwise(F.transform(items, pick))
+    codes = F.array_distinct(F.filter(found, lambda s: F.coalesce(s, F.lit("")) != ""))
     return F.transform(codes, lambda s: F.struct(text.detect_language(s).alias("language"), s.alias("code"), F.lit(False).alias("verified")))
 
 
