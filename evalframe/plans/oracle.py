@@ -153,6 +153,13 @@ WITH {_LAST}, b0 AS (SELECT s0.problem_id, s0.spec_id, title, statement, input_f
   FROM s0 LEFT JOIN o0 USING (problem_id) LEFT JOIN l0 USING (problem_id)),
 b AS (SELECT problem_id, spec_id, cpp, {_PROMPT} AS prompt, {_ANSWER} AS answer FROM b0)"""
 
+#: the outcome of each specification with all tests and all codes of its problem
+_WHOLE = """
+WITH n AS (SELECT problem_id, count(*) AS n FROM test_cases WHERE problem_id IS NOT NULL GROUP BY problem_id),
+s AS (SELECT problem_id, count(*) AS m FROM solutions WHERE problem_id IS NOT NULL AND coalesce(code, '') <> '' GROUP BY problem_id),
+w AS (SELECT spec_id, p.problem_id, CASE WHEN coalesce(n.n, 0) < 2 THEN 'bad_tests' WHEN m IS NULL THEN 'no_solution' ELSE 'written' END AS outcome
+  FROM problem_specs p LEFT JOIN n ON n.problem_id = p.problem_id LEFT JOIN s ON s.problem_id = p.problem_id)"""
+
 _REJ = "coalesce(rejected, '')"
 _DPO = f"""{_BUNDLES},
 q AS (SELECT pair_id, coalesce(problem_id, '') AS problem_id, coalesce(failure_reason, '') AS why, {_extract(_REJ, True)} AS code, {_declared(_REJ, 'time')} AS tc, {_declared(_REJ, 'space')} AS sc FROM dpo_pairs),
@@ -269,6 +276,13 @@ def oracle_sql() -> dict[str, str]:
         "best_solution": f"WITH {_LAST} SELECT problem_id, md5(coalesce(vcpp, acpp, reference_solution, '')) AS best, md5(coalesce(vpy, apy, '')) AS best_python, md5(coalesce(vcpp, reference_solution, '')) AS training FROM l0 FULL JOIN o0 USING (problem_id)",
         "tag_union": "WITH u AS (SELECT oracle_id, list_filter(list_concat(coalesce(tags, []), [difficulty], [source]), lambda x: x IS NOT NULL AND x <> '') AS l FROM oracle_meta) SELECT oracle_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS tags FROM u",
         "convert_manifest": f"WITH {_LAST}, n AS (SELECT problem_id, case_id // 64 AS block, min(case_id) AS i, count(*) AS n FROM test_cases WHERE problem_id IS NOT NULL GROUP BY ALL), c AS (SELECT CASE WHEN i % 17 = 0 THEN 'bad_tests' WHEN i % 19 = 0 THEN 'function_task' WHEN n.n < 2 THEN 'bad_tests' WHEN coalesce(vcpp, acpp, vpy, apy) IS NULL THEN 'no_solution' ELSE 'written' END AS outcome FROM n LEFT JOIN l0 ON l0.problem_id = n.problem_id) SELECT outcome, count(*) AS n FROM c GROUP BY outcome",
+        "convert_specifications": f"{_WHOLE}, o AS (SELECT outcome FROM w UNION ALL SELECT 'bad_tests' FROM problem_specs WHERE spec_id % 17 = 0 UNION ALL SELECT 'function_task' FROM problem_specs WHERE spec_id % 19 = 0) SELECT outcome, count(*) AS n FROM o GROUP BY outcome",
+        "convert_bundles": f"""{_WHOLE}, z AS (SELECT problem_id, greatest(1, CAST(round_even(n * 0.7::DOUBLE, 0) AS BIGINT)) AS k0, n FROM n WHERE n > 1), k AS (SELECT problem_id, n, least(n - 1, k0) AS k FROM z),
+x AS (SELECT problem_id, row_number() OVER (PARTITION BY problem_id ORDER BY case_id) AS i, coalesce(stdin, '') || chr(31) || coalesce(expected_stdout, '') AS x FROM test_cases WHERE problem_id IS NOT NULL),
+td AS (SELECT problem_id, least(any_value(k), 20) AS rn, least(any_value(n) - any_value(k), 10) AS en, md5(string_agg(x, chr(30) ORDER BY i) FILTER (i <= least(k, 20))) AS rd, md5(string_agg(x, chr(30) ORDER BY i) FILTER (i > k AND i <= k + 10)) AS ed FROM x JOIN k USING (problem_id) GROUP BY problem_id),
+dc AS (SELECT problem_id, code, min(solution_id) AS o FROM solutions WHERE problem_id IS NOT NULL AND coalesce(code, '') <> '' GROUP BY ALL), cd AS (SELECT problem_id, count(*) AS cn, md5(string_agg({lang} || chr(31) || code, chr(30) ORDER BY o)) AS c5 FROM dc GROUP BY problem_id)
+SELECT spec_id, outcome, CASE WHEN outcome = 'written' THEN rn ELSE NULL END AS repair, CASE WHEN outcome = 'written' THEN en ELSE NULL END AS eval, CASE WHEN outcome = 'written' THEN cn ELSE NULL END AS codes, CASE WHEN outcome = 'written' THEN rd END AS repair_md5, CASE WHEN outcome = 'written' THEN ed END AS eval_md5, CASE WHEN outcome = 'written' THEN c5 END AS codes_md5
+FROM w LEFT JOIN td ON td.problem_id = w.problem_id LEFT JOIN cd ON cd.problem_id = w.problem_id""",
         "prompts": f"{_BUNDLES} SELECT problem_id, md5(prompt) AS prompt_md5 FROM b",
         "sft_records": f"{_BUNDLES} SELECT problem_id, md5(prompt) AS input_md5, md5(answer) AS output_md5 FROM b WHERE cpp <> ''",
         "template_dpo_records": f"{_BUNDLES} SELECT problem_id, md5(answer) AS chosen_md5, {len(t.PLACEHOLDER_REJECT)} AS rejected_chars FROM b WHERE cpp <> ''",

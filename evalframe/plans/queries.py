@@ -209,6 +209,45 @@ def raw_rows(spark: S, d: str) -> D:
     )
 
 
+def convert_specifications(spark: S, d: str) -> D:
+    """Every specification with all tests and codes of its problem, and some spoilt rows besides, converted and counted by outcome."""
+    return curate.manifest(curate.convert(specification_rows(spark, d)))
+
+
+def convert_bundles(spark: S, d: str) -> D:
+    """What convert() makes of each specification: digests of the tests and solutions of the bundle."""
+    c = curate.convert(specification_rows(spark, d)).where("row_index > 0")
+    tests = lambda a: F.md5(F.array_join(F.transform(a, lambda t: F.concat(t["stdin"], F.lit("\x1f"), t["expected_stdout"])), "\x1e"))
+    codes = F.array_join(F.transform("oracle.solutions", lambda s: F.concat(s["language"], F.lit("\x1f"), s["code"])), "\x1e")
+    return c.select(
+        (F.col("row_index") - 1).alias("spec_id"), F.coalesce("skip_reason", F.lit("written")).alias("outcome"), F.size("tests.repair_tests").alias("repair"), F.size("tests.eval_tests").alias("eval"), F.size("oracle.solutions").alias("codes"),
+        tests("tests.repair_tests").alias("repair_md5"), tests("tests.eval_tests").alias("eval_md5"), F.md5(codes).alias("codes_md5"),
+    )
+
+
+def specification_rows(spark: S, d: str) -> D:
+    """The raw dataset shape: one row a specification with all tests and all codes of its problem.
+
+    Besides, every 17th specification has a row whose tests are no JSON and every 19th one of a function task; their index is negative.
+    """
+    lists = lambda t, order, cols: t.groupBy("problem_id").agg(F.sort_array(F.collect_list(F.struct(order, *cols))).alias("xs"))
+    cases = lists(table(spark, d, "test_cases").where("problem_id is not null"), "case_id", ["stdin", "expected_stdout"])
+    part = lambda c: F.transform("xs", lambda x: F.coalesce(x[c], F.lit("")))
+    cases = cases.select("problem_id", F.to_json(F.struct(part("stdin").alias("inputs"), part("expected_stdout").alias("outputs"))).alias("input_output"))
+    codes = lists(table(spark, d, "solutions").where("problem_id is not null and coalesce(code, '') <> ''"), "solution_id", ["code"])
+    codes = codes.select("problem_id", F.to_json(part("code")).alias("solutions"))
+    p = table(spark, d, "problem_specs").select("spec_id", "problem_id", "title", "statement", "source")
+    whole = p.join(cases, "problem_id", "left").join(codes, "problem_id", "left").withColumn("row_index", F.col("spec_id") + 1)
+    spoilt = lambda n, io: p.where(F.col("spec_id") % n == 0).withColumns({"input_output": F.lit(io), "solutions": F.lit("[]"), "row_index": -1 - F.col("spec_id")})
+    j = whole.unionByName(spoilt(17, "not json")).unionByName(spoilt(19, '{"fn_name": "f", "inputs": [1], "outputs": [2]}'))
+    null = F.lit(None).cast("string")
+    return j.select(
+        "row_index", F.col("title").alias("name"), F.col("statement").alias("question"), F.coalesce("input_output", F.lit('{"inputs": [], "outputs": []}')).alias("input_output"), "solutions",
+        null.alias("difficulty"), F.lit('["a", "b"]').alias("tags"), F.lit("b").alias("raw_tags"), null.alias("skill_types"), "source", null.alias("url"), F.lit("1.5 seconds").alias("time_limit"), F.lit("128 megabytes").alias("memory_limit"),
+        F.lit("O(n)").alias("Expected Time Complexity"), null.alias("Expected Auxiliary Space"), null.alias("expected_time_complexity"), null.alias("expected_space_complexity"),
+    )
+
+
 # training sets
 
 

@@ -2,9 +2,33 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalframe.operators import curate
+from evalframe.plans import queries
+
+
+@pytest.fixture()
+def tables(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("problem_specs", [(i, f"p{i}", "t", "s", "x") for i in (1, 2, 3, 17)] + [(4, None, "t", "s", "x")], "spec_id long, problem_id string, title string, statement string, source string")
+    far = [(1000 * i, "p1", f"{i}", f"{i + 1}") for i in range(40)]  # no two in a block of 64 ids
+    write("test_cases", far + [(7, "p2", "1", "2"), (900, "p2", "1", "2"), (8, "p3", "1", "2"), (9, "p17", None, "2"), (999, "p17", "1", "2")], "case_id long, problem_id string, stdin string, expected_stdout string")
+    write("solutions", [(i, "p1", "java", f"class A{i} {{}}") for i in range(9)] + [(20, "p2", None, '{"a": 1}'), (21, "p17", "cpp17", "")], "solution_id long, problem_id string, language string, code string")
+    return str(tmp_path)
+
+
+def test_specifications_keep_all_tests_and_codes(spark, tables):
+    got = {r.spec_id: r for r in queries.convert_bundles(spark, tables).collect()}
+    assert {k: r.outcome for k, r in got.items()} == {1: "written", 2: "written", 3: "bad_tests", 4: "bad_tests", 17: "no_solution"}
+    assert (got[1].repair, got[1].eval, got[1].codes) == (20, 10, 9)
+    assert (got[2].repair, got[2].eval, got[2].codes) == (1, 1, 1)
+    row = queries.specification_rows(spark, tables).where("row_index = 2").first()
+    assert json.loads(row.input_output)["inputs"] == [str(i) for i in range(40)]
+    assert {r.outcome: r.n for r in queries.convert_specifications(spark, tables).collect()} == {"written": 2, "bad_tests": 3, "no_solution": 1}
 
 
 def test_code_that_is_json_text_is_a_code(spark):
