@@ -30,3 +30,15 @@ def limit_on_success(df: DataFrame, order: str, ok: Column, limit: int) -> DataF
 def limit_on_scanned(df: DataFrame, order: str, limit: int) -> DataFrame:
     """The first ``limit`` rows in order; all if limit <= 0."""
     return df.orderBy(order).limit(limit) if limit > 0 else df
+
+
+def rank_within(df: DataFrame, group: str, block: Column, order: list[str]) -> DataFrame:
+    """Adds ``rank``: how many rows of the group come earlier in order; ``block`` must not fall along the order.
+
+    Counts of a group's blocks are prefixed (one row a group and block), then each block ranks within itself.
+    """
+    marked = df.withColumn("_block", block)
+    counts = marked.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    base = counts.select(group, "_block", (F.sum("_n").over(Window.partitionBy(group).orderBy("_block")) - F.col("_n")).alias("_base"))
+    within = F.row_number().over(Window.partitionBy(group, "_block").orderBy(*order)) - 1
+    return marked.withColumn("_within", within).join(base, [group, "_block"]).withColumn("rank", F.col("_base") + F.col("_within")).drop("_block", "_within", "_base")

@@ -101,6 +101,13 @@ p AS (
   FROM p
 )""".replace("{xf}", _fails("xk", "xt", "xk % 4")).replace("{lf}", _fails("lk", "lt", "2"))
 
+#: the same over runs of four consecutive events of a user
+_RUNS_BY_RANK = """
+WITH e AS (
+  SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events
+), a AS (SELECT 'u' || user_id || '-' || (i // 4) AS problem_id, i % 4 + 1 AS attempt, event_id, event_type, value, k FROM e),
+""" + _RUNS[_RUNS.index("p AS (") :]
+
 _CATEGORY = """
 f AS (SELECT *, xfails[1] AS i FROM r WHERE status IS DISTINCT FROM 'SOLVED'),
 g AS (
@@ -230,6 +237,11 @@ SELECT problem_id, ts AS time_status, ms AS memory_status, budget AS operation_b
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = _oracle_sql()
+    return sql | {f"{n}_by_rank": _RUNS_BY_RANK + s.removeprefix(_RUNS) for n, s in sql.items() if s.startswith(_RUNS)}
+
+
+def _oracle_sql() -> dict[str, str]:
     rej, cho = _REJ, "coalesce(chosen, '')"
     rates = "count(*) AS num_problems, " + ", ".join(f"round(coalesce(avg(CASE WHEN {a} THEN 1.0::DOUBLE ELSE 0.0 END), 0), 9) AS {a if a != 'format_valid' else a}_rate" for a in ("format_valid", "chinese_explanation", "complexity_field", "cpp_code_block"))
     valid = "explanation_field AND chinese_explanation AND complexity_field AND cpp_code_block AS format_valid"

@@ -15,41 +15,41 @@ S, D = SparkSession, DataFrame
 # metrics
 
 
-def metrics_summary(spark: S, d: str) -> D:
-    out = metrics.summarize(views.results(spark, d))
+def metrics_summary(spark: S, d: str, results=views.results) -> D:
+    out = metrics.summarize(results(spark, d))
     return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
-def per_problem_rates(spark: S, d: str) -> D:
-    return metrics.per_problem(views.results(spark, d)).select("problem_id", "first_compiled", "final_compiled", F.round("repair_rate", 9).alias("repair_rate"), F.round("held_out_rate", 9).alias("held_out_rate"), "turns")
+def per_problem_rates(spark: S, d: str, results=views.results) -> D:
+    return metrics.per_problem(results(spark, d)).select("problem_id", "first_compiled", "final_compiled", F.round("repair_rate", 9).alias("repair_rate"), F.round("held_out_rate", 9).alias("held_out_rate"), "turns")
 
 
-def failure_breakdown(spark: S, d: str) -> D:
-    return metrics.failure_breakdown(views.results(spark, d), F.col("report_ord"))
+def failure_breakdown(spark: S, d: str, results=views.results) -> D:
+    return metrics.failure_breakdown(results(spark, d), F.col("report_ord"))
 
 
-def failure_histogram(spark: S, d: str) -> D:
-    return metrics.ordered_histogram(diagnose.failures(views.results(spark, d)), "category", F.col("report_ord"))
+def failure_histogram(spark: S, d: str, results=views.results) -> D:
+    return metrics.ordered_histogram(diagnose.failures(results(spark, d)), "category", F.col("report_ord"))
 
 
-def failure_totals(spark: S, d: str) -> D:
-    return diagnose.totals(views.results(spark, d)).withColumn("verified_success_rate", F.round("verified_success_rate", 9))
+def failure_totals(spark: S, d: str, results=views.results) -> D:
+    return diagnose.totals(results(spark, d)).withColumn("verified_success_rate", F.round("verified_success_rate", 9))
 
 
-def diagnostic_categories(spark: S, d: str) -> D:
-    return diagnose.failures(views.results(spark, d)).select("problem_id", "category")
+def diagnostic_categories(spark: S, d: str, results=views.results) -> D:
+    return diagnose.failures(results(spark, d)).select("problem_id", "category")
 
 
-def topk_examples(spark: S, d: str) -> D:
-    return diagnose.first_examples(diagnose.failures(views.results(spark, d)), ["report_ord"]).select("category", "example", "problem_id", "diagnostic_summary", "test_id", "expected", "actual", "last_trace")
+def topk_examples(spark: S, d: str, results=views.results) -> D:
+    return diagnose.first_examples(diagnose.failures(results(spark, d)), ["report_ord"]).select("category", "example", "problem_id", "diagnostic_summary", "test_id", "expected", "actual", "last_trace")
 
 
-def agent_failure_reason(spark: S, d: str) -> D:
-    return views.results(spark, d).select("problem_id", diagnose.agent_failure_reason(F.col("attempt_records")).alias("reason"))
+def agent_failure_reason(spark: S, d: str, results=views.results) -> D:
+    return results(spark, d).select("problem_id", diagnose.agent_failure_reason(F.col("attempt_records")).alias("reason"))
 
 
-def held_out_summaries(spark: S, d: str) -> D:
-    r = views.results(spark, d).where("held_out_result is not null")
+def held_out_summaries(spark: S, d: str, results=views.results) -> D:
+    r = results(spark, d).where("held_out_result is not null")
     return r.select("problem_id", diagnose.held_out_summary(F.col("held_out_result")).alias("summary"))
 
 
@@ -306,8 +306,8 @@ def resume_remaining(spark: S, d: str) -> D:
     return incremental.remaining(views.specs(spark, d).select("problem_id", "spec_id"), done, order="spec_id").select("problem_id", "spec_id")
 
 
-def resume_merge(spark: S, d: str) -> D:
-    r = views.results(spark, d).select("problem_id", "status", "report_ord")
+def resume_merge(spark: S, d: str, results=views.results) -> D:
+    r = results(spark, d).select("problem_id", "status", "report_ord")
     half = r.where("report_ord % 2 = 0")
     return incremental.merged(half, incremental.remaining(r, half)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -343,3 +343,46 @@ def resume_stream(spark: S, d: str) -> D:
     from evalframe.streaming.resume import stream_counts
 
     return stream_counts(spark, f"{d}/events.parquet")
+
+
+# the same over runs of four consecutive events of a user
+
+
+def metrics_summary_by_rank(spark: S, d: str) -> D:
+    return metrics_summary(spark, d, views.results_by_rank)
+
+
+def per_problem_rates_by_rank(spark: S, d: str) -> D:
+    return per_problem_rates(spark, d, views.results_by_rank)
+
+
+def failure_breakdown_by_rank(spark: S, d: str) -> D:
+    return failure_breakdown(spark, d, views.results_by_rank)
+
+
+def failure_histogram_by_rank(spark: S, d: str) -> D:
+    return failure_histogram(spark, d, views.results_by_rank)
+
+
+def failure_totals_by_rank(spark: S, d: str) -> D:
+    return failure_totals(spark, d, views.results_by_rank)
+
+
+def diagnostic_categories_by_rank(spark: S, d: str) -> D:
+    return diagnostic_categories(spark, d, views.results_by_rank)
+
+
+def topk_examples_by_rank(spark: S, d: str) -> D:
+    return topk_examples(spark, d, views.results_by_rank)
+
+
+def agent_failure_reason_by_rank(spark: S, d: str) -> D:
+    return agent_failure_reason(spark, d, views.results_by_rank)
+
+
+def held_out_summaries_by_rank(spark: S, d: str) -> D:
+    return held_out_summaries(spark, d, views.results_by_rank)
+
+
+def resume_merge_by_rank(spark: S, d: str) -> D:
+    return resume_merge(spark, d, views.results_by_rank)

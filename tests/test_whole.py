@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalframe.operators import curate
-from evalframe.plans import queries
+from evalframe.plans import queries, views
 
 
 @pytest.fixture()
@@ -35,3 +35,13 @@ def test_code_that_is_json_text_is_a_code(spark):
     raw = [(json.dumps(['{"a": 1}', "x", {"text": "y"}, {"a": 1}, 5, "x", ""]),), ("plain {",), ("  ",), (None,)]
     got = [[s.code for s in r.c or []] for r in spark.createDataFrame(raw, "s string").select(curate.solutions_of(F.col("s")).alias("c")).collect()]
     assert got == [['{"a": 1}', "x", "y"], ["plain {"], [], []]
+
+
+def test_attempts_of_a_run_do_not_depend_on_event_ids(spark, tmp_path):
+    rows = [(1000 * i, 5, f"2024-01-{1 + i // 3:02d} 00:00:{59 - i:02d}", "click", 5.0, '{"k": 1}') for i in range(10)]  # within a day, ids against time
+    events = spark.createDataFrame(rows, "event_id long, user_id long, t string, event_type string, value double, props string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    order = [r.event_id for r in events.orderBy("ts", "event_id").collect()]
+    got = {(r.problem_id, r.attempt): r.event_id for r in views.attempts_by_rank(spark, str(tmp_path)).collect()}
+    assert got == {(f"u5-{i // 4}", i % 4 + 1): x for i, x in enumerate(order)}
+    assert sorted(r.turns for r in queries.per_problem_rates_by_rank(spark, str(tmp_path)).collect()) == [1, 3, 3]
