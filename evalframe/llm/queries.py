@@ -29,10 +29,10 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    from evalframe.llm.quota_sample import target_report
+    from evalframe.llm.quota_sample import quota_sample
 
-    report = target_report(table(spark, d, "oracle_meta"), table(spark, d, "sample_targets"))
-    return report.where(~F.col("met")).select("dimension", "category")
+    report = quota_sample(table(spark, d, "oracle_meta"), table(spark, d, "sample_targets"), counted=True)[1]
+    return report.where(F.col("available") < F.col("need")).select("dimension", "category")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     from evalframe.llm.quota_sample import quota_sample
 
-    return quota_sample(table(spark, d, "oracle_meta"), table(spark, d, "sample_targets"))[1]
+    return quota_sample(table(spark, d, "oracle_meta"), table(spark, d, "sample_targets"), counted=True)[1]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -332,12 +332,13 @@ def exchanged(quota: dict[tuple, int], counts: dict[tuple, int], wanted: list[Ta
 
 
 def quota_sample(
-    df: DataFrame, targets: DataFrame, id_col: str = "oracle_id", difficulty_col: str = "difficulty", source_col: str = "source", tags_col: str = "tags", part: int = 5, seed: int = 17
+    df: DataFrame, targets: DataFrame, id_col: str = "oracle_id", difficulty_col: str = "difficulty", source_col: str = "source", tags_col: str = "tags", part: int = 5, seed: int = 17, counted: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(sample: id, difficulty, source, tag_mask; report: dimension, category, need, available, sampled, met).
 
     Ties of random keys are broken by id, rows that repeat an id are drawn separately by chance of the
     same key. Rows with a null id are counted but never drawn. Every run gives the same sample.
+    The report is of the quotas; if ``counted``, the sample is drawn at once and the report is of its rows.
     """
     spark = df.sparkSession
     wanted = read_targets(targets)
@@ -358,6 +359,7 @@ def quota_sample(
     whole = rows.where(F.col("n") <= F.col("left"))
     last = rows.where(F.col("n") > F.col("left")).withColumn("rank", F.row_number().over(Window.partitionBy("d", "s", "mask", "bar").orderBy("low", "id"))).where(F.col("rank") <= F.col("left")).drop("rank")
     sample = whole.unionByName(last).select("id", F.col("d").alias("difficulty"), F.col("s").alias("source"), F.col("mask").alias("tag_mask"))
-    drawn = [(t.dimension, t.label, t.need(size), _available(counts, t, tags), _available(quota, t, tags)) for t in wanted]
+    taken = _counts(sample.toDF("id", "d", "s", "mask")) if counted else quota
+    drawn = [(t.dimension, t.label, t.need(size), _available(counts, t, tags), _available(taken, t, tags)) for t in wanted]
     report = spark.createDataFrame(drawn, "dimension string, category string, need long, available long, sampled long").withColumn("met", F.col("sampled") >= F.col("need"))
     return sample, report

@@ -1,0 +1,24 @@
+"""The registered queries run the dealt operators."""
+
+from pyspark.sql import functions as F
+
+from evalframe.llm import queries, quota_sample as qs
+
+META, TARGETS = "oracle_id long, difficulty string, source string, tags array<string>", "dimension string, category string, target_share double, min_rows long"
+
+
+def test_p2_found_draws_the_sample(spark, tmp_path, monkeypatch):
+    rows = [(i, "easy" if i % 2 else "hard", "x", ["t"]) for i in range(100)]
+    spark.createDataFrame(rows, META).write.parquet(f"{tmp_path}/oracle_meta.parquet")
+    spark.createDataFrame([("difficulty", "easy", 0.5, 0), ("difficulty", "none", 0.1, 1)], TARGETS).write.parquet(f"{tmp_path}/sample_targets.parquet")
+    calls, drawn, quotas, counts = [], [], qs.quotas, qs._counts
+    monkeypatch.setattr(qs, "quotas", lambda *a: calls.append(1) or quotas(*a))
+    monkeypatch.setattr(qs, "_counts", lambda df: drawn.append(sum((got := counts(df)).values())) or got)
+    assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [("difficulty", "none")]
+    assert calls and drawn == [100, 20]
+
+
+def test_counted_report_is_of_drawn_rows(spark):
+    df = spark.createDataFrame([(i, "easy", "x", ["t"]) for i in range(50)], META).withColumn("oracle_id", F.when(F.col("oracle_id") < 5, F.col("oracle_id")))
+    targets = spark.createDataFrame([("difficulty", "easy", 1.0, 0)], TARGETS)
+    assert [(r.need, r.sampled, r.met) for r in qs.quota_sample(df, targets, counted=True)[1].collect()] == [(10, 5, False)]
