@@ -1,12 +1,10 @@
-"""Problem 1: near-duplicate records with small edits, by anchor-point covering.
+"""Problem 1: near-duplicate records with small edits, by an exact prefix-filter join.
 
-The anchors are the weight-one code words of the shingle space (see ``setjoin``); each record's
-fingerprint (its shingle set) goes to the anchors within covering radius plus threshold, which are its
-rarest shingles, and is compared per anchor. A binary covering code was weighed and left: at Jaccard
-0.5 a one-bit minhash differs with probability 0.25, so on the 23-bit perfect code (radius 3) a pair is
-within 2 bits with probability 0.049 only, while each record goes to about 22 anchors; to miss fewer
-than 1 pair in 1000 takes 137 codes, about 3,100 replicas a record. The shingle code needs some tens
-and misses none.
+This is not the named method (a covering code, each record replicated to every anchor within covering
+radius plus threshold). Each shingle set goes to its first n - ceil(t * n) + 1 shingles in order of
+frequency, less those that no other set holds, and is compared per shingle; at Jaccard 1/2 that may be
+n / 2 + 1 anchors. No pair is lost. A binary covering code was weighed on computed figures and is not
+built or measured.
 """
 
 from __future__ import annotations
