@@ -112,7 +112,7 @@ localvar = mods type vars
 stmt = ';' | block | localvar ';' | typedecl | expr ';' | 'if' '(' expr ')' stmt ( 'else' stmt )? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
   | 'for' '(' ( localvar | expr ( ',' expr )* )? ';' expr? ';' ( expr ( ',' expr )* )? ')' stmt | 'for' '(' mods type NAME ':' expr ')' stmt
   | 'return' expr? ';' | 'break' NAME? ';' | 'continue' NAME? ';' | 'throw' expr ';' | 'yield' expr ';' | NAME ':' stmt | 'assert' expr ( ':' expr )? ';' | 'synchronized' '(' expr ')' block
-  | 'switch' '(' expr ')' switchbody | 'try' resources? block ( 'catch' '(' mods type ( '|' type )* NAME ')' block )* ( 'finally' block )?
+  | 'switch' '(' expr ')' switchbody | 'try' resources block ( 'catch' '(' mods type ( '|' type )* NAME ')' block )* ( 'finally' block )? | 'try' block ( ( 'catch' '(' mods type ( '|' type )* NAME ')' block )+ ( 'finally' block )? | 'finally' block )
 resources = '(' resource ( ';' resource )* ';'? ')'
 resource = mods type NAME '=' expr | expr
 switchbody = '{' ( ( 'case' label ( ',' label )* | 'default' ) ( ':' stmt* | '->' ( expr ';' | block | 'throw' expr ';' ) ) )* '}'

@@ -1,13 +1,14 @@
 """Problem 3: source files that do not parse in their stated language, by memoised derivatives.
 
 Each file's tokens run through the derivative table of its language (``derivatives``, ``grammars``): an
-empty derivative is the failing token, a state that cannot end is a truncation. For python3 the flagged
-files, and only those, are put to the parser of Python 3.13 as an exact check.
+empty derivative is the failing token, a state that cannot end is a truncation. For python3 the parser of
+Python 3.13 decides: it clears files that are flagged, and finds those that the wider grammar lets pass.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 import sys
 import warnings
 from collections.abc import Iterator
@@ -20,14 +21,22 @@ from evalframe.session import spread
 LANGUAGES = ("python3", "cpp17", "java")
 
 
-def _python_refuses(code: str) -> bool:
+def _python_refuses(code: str) -> Exception | None:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             ast.parse(code)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return True
-    return False
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            return e
+    return None
+
+
+def _place(code: str, e: Exception) -> int:
+    """The offset in code points that a refusal names; 0 if it names none."""
+    if not isinstance(e, SyntaxError) or not e.lineno:
+        return max(code.find("\0"), 0)
+    lines = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)", code)
+    return min(sum(map(len, lines[: e.lineno - 1])) + max((e.offset or 1) - 1, 0), len(code))
 
 
 def parse_failure(code: str | None, lang: str | None) -> tuple[int, bool] | None:
@@ -40,8 +49,12 @@ def parse_failure(code: str | None, lang: str | None) -> tuple[int, bool] | None
     if lang not in LANGUAGES or code is None or not code.strip():
         return None
     found = language(lang).failure(code)
-    if found and lang == "python3" and (sys.version_info[:2] == (3, 13)) and not _python_refuses(code):
-        return None
+    if lang == "python3" and sys.version_info[:2] == (3, 13):
+        refused = _python_refuses(code)
+        if found:
+            return found if refused else None
+        if isinstance(refused, (SyntaxError, ValueError)):  # other errors are limits of the parser
+            return _place(code, refused), False
     return found
 
 
