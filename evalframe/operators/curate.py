@@ -43,11 +43,17 @@ def tags_of(*raw: Column) -> Column:
     return semi.distinct_union(*[semi.list_text(c) for c in raw])
 
 
+def from_offset(df: DataFrame, offset: int, index: str = "row_index") -> DataFrame:
+    """Raw rows from an index on; the indices stay."""
+    return df.where(F.col(index) >= offset)
+
+
 def convert(df: DataFrame, index: str = "row_index", ratio: float = 0.7, min_tests: int = 2, max_repair: int = 20, max_eval: int = 10, prefix: str = "set", default_source: str = "raw", include_function_tasks: bool = False) -> DataFrame:
-    """Row index, skip_reason (null: kept) and the bundle structs problem, tests, oracle.
+    """Row index, skip_reason (null: kept) and the bundle structs problem, tests, oracle.
 
     The rules are asked in order: tests that are no JSON object, function tasks, too few or unequal
     tests, no solution. Missing columns of the raw schema must be supplied as nulls.
+    There is no conversion_error outcome (C5): a row that fails otherwise ends the job.
     """
     io = semi.parse_jsonish(F.col("input_output"))
     raw = lambda k: F.get_json_object(F.col("input_output"), f"$.{k}")

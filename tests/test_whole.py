@@ -45,3 +45,7 @@ def test_attempts_of_a_run_do_not_depend_on_event_ids(spark, tmp_path):
     got = {(r.problem_id, r.attempt): r.event_id for r in views.attempts_by_rank(spark, str(tmp_path)).collect()}
     assert got == {(f"u5-{i // 4}", i % 4 + 1): x for i, x in enumerate(order)}
     assert sorted(r.turns for r in queries.per_problem_rates_by_rank(spark, str(tmp_path)).collect()) == [1, 3, 3]
+
+
+def test_offset_skips_by_index(spark):
+    assert [r.row_index for r in curate.from_offset(spark.range(5).withColumnRenamed("id", "row_index"), 3).collect()] == [3, 4]
