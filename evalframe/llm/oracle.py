@@ -30,6 +30,13 @@ SELECT t.dimension, t.category FROM t CROSS JOIN z LEFT JOIN c ON c.dimension =
 WHERE coalesce(c.n, 0) < greatest((t.h * size + 99) // 100, t.m)
 """
 
+#: of the rows drawn: a category with no more rows than it needs is whole, and the size is a fifth of all rows
+P2_MARGINS = _P2_COUNTS[: _P2_COUNTS.rindex("SELECT t.dimension")].replace("category, CAST(", "category, category AS label, CAST(", 1) + r"""
+SELECT t.dimension, t.label AS category, greatest((t.h * size + 99) // 100, t.m) AS need, coalesce(c.n, 0) AS available,
+  CASE WHEN coalesce(c.n, 0) <= greatest((t.h * size + 99) // 100, t.m) THEN coalesce(c.n, 0) END AS whole, size, size AS ids
+FROM t CROSS JOIN z LEFT JOIN c ON c.dimension = t.dimension AND c.category = t.category
+"""
+
 P6_FOUND = r"""
 WITH w AS (
   SELECT case_id, suite = 'repair' AS train, regexp_extract_all(coalesce(stdin, ''), '\S+') AS a, regexp_extract_all(coalesce(expected_stdout, ''), '\S+') AS b
@@ -68,4 +75,4 @@ P8_CLEAN = _LEAKS + "SELECT doc_id, source, n_chars FROM documents WHERE doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": _P2_COUNTS, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}
+    return {"p1_found": P1_FOUND, "p2_found": _P2_COUNTS, "p2_margins": P2_MARGINS, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}

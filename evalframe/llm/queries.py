@@ -47,6 +47,16 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample(table(spark, d, "oracle_meta"), table(spark, d, "sample_targets"), counted=True)[1]
 
 
+def p2_margins(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the rows drawn: need and available of each target, the rows drawn of those taken whole, and the sizes."""
+    from evalframe.llm.quota_sample import quota_sample
+
+    sample, report = quota_sample(table(spark, d, "oracle_meta"), table(spark, d, "sample_targets"), counted=True)
+    size = sample.agg(F.count(F.lit(1)).alias("size"), F.countDistinct("id").alias("ids"))
+    whole = F.when(F.col("available") <= F.col("need"), F.col("sampled"))
+    return report.select("dimension", "category", "need", "available", whole.alias("whole")).join(F.broadcast(size))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from evalframe.llm.source_parse import unparsable_files
 

@@ -6,8 +6,8 @@
 3. Two controlled roundings by max-flow with lower bounds make them whole: first the two-way table
    difficulty x source, then the two-way table (its cells) x tag sets. Each cell and each margin gets the
    floor or the ceiling of its fractional value, so both margins are preserved.
-4. Where rounding left a target short, single rows are exchanged between strata as long as no other
-   target that is short or just met loses by it.
+4. Where rounding left a target short, rows are exchanged between strata along augmenting paths, so that
+   no other target that is short or just met loses by it.
 5. Each stratum takes exactly its quota: the rows with the smallest random keys (a hash of seed and id).
    The key at which a quota is reached is found from a histogram of the keys, so only the rows of one
    histogram bar a stratum are ranked.
@@ -107,12 +107,13 @@ class _Flow:
                 total += push
 
 
-def controlled_rounding(table: dict[tuple, float], caps: dict[tuple, int], row_totals: dict | None = None) -> dict[tuple, int]:
+def controlled_rounding(table: dict[tuple, float], caps: dict[tuple, int], row_totals: dict | None = None, total: int | None = None) -> dict[tuple, int]:
     """Whole quotas for a fractional two-way table {(row, column): x}.
 
     Every cell becomes the floor or ceiling of x (at most its cap), and so does every row and column
     total (rows take ``row_totals`` exactly where given, as far as the caps allow). Feasible by the
     integrality of flows; where rounding errors leave it infeasible, columns and then cells are loosened.
+    ``total``, if given, is the sum of all cells.
     """
     eps = 1e-6
     rows, cols = sorted({r for r, _ in table}, key=str), sorted({c for _, c in table}, key=str)
@@ -148,7 +149,10 @@ def controlled_rounding(table: dict[tuple, float], caps: dict[tuple, int], row_t
                 low, high = 0, caps[r, c]
             lows[r, c] = low
             arcs[r, c] = bounded(ids["r", r], ids["c", c], low, high)
-        g.add(sink, source, 1 << 60)
+        if total is None or slack > 1:
+            g.add(sink, source, 1 << 60)
+        else:
+            bounded(sink, source, total, total)
         for v, x in need.items():
             if x > 0:
                 g.add(s2, v, x)
@@ -184,8 +188,8 @@ def _wants(members: dict, counts: dict[tuple, int], want: dict, size: int) -> li
     return [(members[c], take[c]) for c in members]
 
 
-def rake(counts: dict[tuple, int], size: int, targets: list[Target], tags: list[str], rounds: int = 4000) -> dict[tuple, float]:
-    """Fractional quotas for the strata (difficulty, source, tag mask), fitted to the needs, capped by the counts.
+def rake(counts: dict[tuple, int], size: int, targets: list[Target], tags: list[str], rounds: int = 4000) -> tuple[dict[tuple, float], set[tuple]]:
+    """(fractional quotas for the strata (difficulty, source, tag mask), strata taken whole): fitted to the needs, capped by the counts.
 
     A category that has no more rows than it needs is taken whole (unless such categories together
     exceed the sample), and the rest is fitted around it.
@@ -237,7 +241,7 @@ def rake(counts: dict[tuple, int], size: int, targets: list[Target], tags: list[
             v[ix] = mine
         if moved < 1e-4:
             break
-    return dict(zip(keys, v.tolist()))
+    return dict(zip(keys, v.tolist())), {k for k, whole in zip(keys, scarce) if whole}
 
 
 def strata(df: DataFrame, targets: list[Target], id_col: str, difficulty_col: str, source_col: str, tags_col: str) -> tuple[DataFrame, list[str]]:
@@ -255,10 +259,14 @@ def strata(df: DataFrame, targets: list[Target], id_col: str, difficulty_col: st
     return base.select("id", "d", "s", mask.cast("int").alias("mask")), tags
 
 
-def _counts(st: DataFrame) -> dict[tuple, int]:
+def _by_stratum(st: DataFrame) -> dict[tuple, int]:
     return {(r.d, r.s, r.mask): r.n for r in st.groupBy("d", "s", "mask").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def _counts(st: DataFrame) -> dict[tuple, int]:
+    return _by_stratum(st)
+
+
 def target_report(df: DataFrame, targets: DataFrame, id_col: str = "oracle_id", difficulty_col: str = "difficulty", source_col: str = "source", tags_col: str = "tags", part: int = 5) -> DataFrame:
     """dimension, category, need, available, met: what each target asks for and whether the data can meet it.
 
@@ -283,61 +291,149 @@ def _available(counts: dict[tuple, int], t: Target, tags: list[str]) -> int:
     return sum(n for k, n in counts.items() if pos is not None and k[pos] == t.category)
 
 
+def _in_order(counts: dict[tuple, int]) -> dict[tuple, int]:
+    """The strata in one fixed order, whatever order they were counted in."""
+    return dict(sorted(counts.items(), key=lambda kv: tuple((x is None, str(x)) for x in kv[0])))
+
+
 def quotas(counts: dict[tuple, int], wanted: list[Target], tags: list[str], size: int) -> dict[tuple, int]:
-    """Whole quotas of the strata: raking, then the two controlled roundings."""
-    x = rake(counts, size, wanted, tags)
+    """Whole quotas of the strata: raking, the two controlled roundings, exchanges. They sum to ``size`` (at most all rows).
+
+    Strata of categories that have no more rows than they need are taken whole before the rounding.
+    """
+    counts = _in_order(counts)
+    size = min(size, sum(counts.values()))
+    x, scarce = rake(counts, size, wanted, tags)
+    whole = {k: counts[k] for k in counts if k in scarce}
+    left = size - sum(whole.values())
+    rest = {k: v for k, v in x.items() if k not in scarce}
+    total = sum(rest.values())
+    rest = {k: min(float(counts[k]), v * left / total) if total else 0.0 for k, v in rest.items()}
     cells, caps = defaultdict(float), defaultdict(int)
-    for (d, s, _), v in x.items():
+    for (d, s, m), v in rest.items():
         cells[d, s] += v
-    for (d, s, _), n in counts.items():
-        caps[d, s] += n
-    first = controlled_rounding(dict(cells), dict(caps))
+        caps[d, s] += counts[d, s, m]
+    first = controlled_rounding(dict(cells), dict(caps), total=left)
     table, most = {}, {}
-    for (d, s, m), v in x.items():
-        table[(d, s), m] = v * (first[d, s] / cells[d, s] if cells[d, s] else 0.0)
+    for (d, s, m), v in rest.items():
+        table[(d, s), m] = min(v * (first[d, s] / cells[d, s] if cells[d, s] else 0.0), float(counts[d, s, m]))
         most[(d, s), m] = counts[d, s, m]
-    second = controlled_rounding({k: min(v, most[k]) for k, v in table.items()}, most, {r: n for r, n in first.items()})
-    return exchanged({(d, s, m): q for ((d, s), m), q in second.items()}, counts, wanted, tags, size)
+    second = controlled_rounding(table, most, {r: n for r, n in first.items()})
+    quota = _filled(whole | {(d, s, m): q for ((d, s), m), q in second.items()}, counts, size)
+    return exchanged(quota, counts, wanted, tags, size)
+
+
+def _filled(quota: dict[tuple, int], counts: dict[tuple, int], size: int) -> dict[tuple, int]:
+    """The quotas brought to the size where rounding could not keep it: single rows to or from the strata with most room."""
+    off = size - sum(quota.values())
+    while off:
+        room = {k: counts[k] - quota[k] if off > 0 else quota[k] for k in counts}
+        for k in sorted(counts, key=lambda k: -room[k])[: abs(off)]:
+            if room[k] > 0:
+                quota[k] += 1 if off > 0 else -1
+                off -= 1 if off > 0 else -1
+    return quota
 
 
 def exchanged(quota: dict[tuple, int], counts: dict[tuple, int], wanted: list[Target], tags: list[str], size: int) -> dict[tuple, int]:
-    """Single exchanges between strata for targets that rounding left short.
+    """Exchanges of rows between strata for targets that rounding left short, along augmenting paths.
 
-    A row of one stratum is given for a row of another only if no target that is short or just met loses
-    by it, so every exchange brings the sample nearer; the size of the sample stays.
+    One exchange gives rows of a stratum for rows of another. A path begins at a short target; each of its
+    exchanges gains one target and may cost one other that is just met, which the next exchange gains back;
+    the last one costs none. Paths are sought breadth first over the targets, so the size of the sample stays,
+    no target gets worse, and the search ends when no short target can be helped.
     """
-    keys = sorted(counts, key=str)
-    q, cap = np.array([quota.get(k, 0) for k in keys]), np.array([counts[k] for k in keys])
+    keys = list(counts)
+    q, cap = np.array([quota.get(k, 0) for k in keys], dtype=np.int64), np.array([counts[k] for k in keys], dtype=np.int64)
     known = [t for t in wanted if t.dimension in ("difficulty", "source", "tags")]
     has = lambda k, t: bool(k[2] >> tags.index(t.category) & 1) if t.dimension == "tags" else k[0 if t.dimension == "difficulty" else 1] == t.category
-    member = np.array([[has(k, t) for t in known] for k in keys], dtype=np.int64).reshape(len(keys), len(known))
-    need = np.array([min(t.need(size), int(cap[member[:, i] == 1].sum())) for i, t in enumerate(known)], dtype=np.int64)
+    bits = np.zeros(len(keys), dtype=np.int64)
+    for i, t in enumerate(known):
+        bits |= np.array([has(k, t) for k in keys], dtype=np.int64) << i
+    held = lambda v: np.array([int(v[bits >> i & 1 == 1].sum()) for i in range(len(known))], dtype=np.int64)
+    need = np.minimum([t.need(size) for t in known], held(cap)) if known else np.zeros(0, dtype=np.int64)
     stuck: set[int] = set()
     while True:
-        over = q @ member - need
+        over = held(q) - need
         short = [i for i in np.flatnonzero(over < 0) if i not in stuck]
         if not short:
             return dict(zip(keys, q.tolist()))
-        i = short[0]
-        tight = np.flatnonzero(over <= 0)
-        give, take = np.flatnonzero((q > 0) & (member[:, i] == 0)), np.flatnonzero((q < cap) & (member[:, i] == 1))
-        lost = member[give][:, tight] @ (1 - member[take][:, tight]).T
-        ok = np.argwhere(lost == 0)
-        if not len(ok):
-            stuck.add(i)
+        path = _path(short[0], q, cap, bits, int(sum(1 << i for i in np.flatnonzero(over <= 0))), len(known))
+        moved = q.copy()
+        for give, take in path or ():
+            moved[give] -= 1
+            moved[take] += 1
+        after = held(moved) - need
+        if not path or (moved < 0).any() or (moved > cap).any() or np.minimum(after, 0).sum() <= np.minimum(over, 0).sum():
+            stuck.add(short[0])
             continue
-        q[give[ok[0][0]]] -= 1
-        q[take[ok[0][1]]] += 1
+        times = _repeats(path, q, cap, after - over, over, short[0])
+        for give, take in path:
+            q[give] -= times
+            q[take] += times
         stuck.clear()
 
 
+def _repeats(path: list[tuple[int, int]], q: np.ndarray, cap: np.ndarray, change: np.ndarray, over: np.ndarray, short: int) -> int:
+    """How often a path can be walked at once before a stratum is used up, its target is met or another falls short."""
+    given, taken = defaultdict(int), defaultdict(int)
+    for give, take in path:
+        given[give] += 1
+        taken[take] += 1
+    bounds = [int(q[g]) // n for g, n in given.items()] + [int(cap[t] - q[t]) // n for t, n in taken.items()]
+    bounds.append(-(int(over[short]) // int(change[short])))
+    bounds += [int(over[i]) // int(-change[i]) for i in np.flatnonzero((change < 0) & (over > 0))]
+    return max(1, min(bounds))
+
+
+def _path(start: int, q: np.ndarray, cap: np.ndarray, bits: np.ndarray, tight: int, targets: int) -> list[tuple[int, int]] | None:
+    """The exchanges (give, take) of a shortest augmenting path from a short target."""
+    came: dict[int, tuple[int, int, int] | None] = {start: None}
+    queue = deque([start])
+    while queue:
+        i = queue.popleft()
+        for lost, give, take in _exchanges(i, q, cap, bits, tight):
+            if lost is None:
+                path = [(give, take)]
+                while came[i] is not None:
+                    i, g, t = came[i]
+                    path.append((g, t))
+                return path
+            if lost not in came:
+                came[lost] = (i, give, take)
+                queue.append(lost)
+    return None
+
+
+def _exchanges(i: int, q: np.ndarray, cap: np.ndarray, bits: np.ndarray, tight: int) -> list[tuple[int | None, int, int]]:
+    """One exchange that gains target i for each single tight target it may cost; (None, ..) first if one costs none.
+
+    Strata alike in the tight targets are alike here, so only one of each kind is looked at.
+    """
+    gives, takes = np.flatnonzero((q > 0) & (bits >> i & 1 == 0)), np.flatnonzero((q < cap) & (bits >> i & 1 == 1))
+    u, first_u = np.unique(bits[gives] & tight, return_index=True)
+    v, first_v = np.unique(bits[takes] & tight, return_index=True)
+    found: dict[int | None, tuple[int, int]] = {}
+    for at in range(0, len(u), 512):
+        lost = u[at : at + 512, None] & ~v[None, :]
+        single = np.argwhere(lost & (lost - 1) == 0)
+        kinds, firsts = np.unique(lost[single[:, 0], single[:, 1]], return_index=True)
+        for kind, f in zip(kinds.tolist(), firsts):
+            a, b = single[f]
+            found.setdefault(kind.bit_length() - 1 if kind else None, (int(gives[first_u[at + a]]), int(takes[first_v[b]])))
+        if None in found:
+            return [(None, *found[None])]
+    return [(lost, g, t) for lost, (g, t) in found.items()]
+
+
 def quota_sample(
     df: DataFrame, targets: DataFrame, id_col: str = "oracle_id", difficulty_col: str = "difficulty", source_col: str = "source", tags_col: str = "tags", part: int = 5, seed: int = 17, counted: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(sample: id, difficulty, source, tag_mask; report: dimension, category, need, available, sampled, met).
 
     Ties of random keys are broken by id, rows that repeat an id are drawn separately by chance of the
-    same key. Rows with a null id are counted but never drawn. Every run gives the same sample.
+    same key. Rows with a null id count towards the sizes but are never drawn, and quotas leave them out.
+    The sample depends on the rows alone, not on their order or partitions.
     The report is of the quotas; if ``counted``, the sample is drawn at once and the report is of its rows.
     """
     spark = df.sparkSession
@@ -345,7 +441,8 @@ def quota_sample(
     st, tags = strata(df, wanted, id_col, difficulty_col, source_col, tags_col)
     counts = _counts(st)
     size = sum(counts.values()) // part
-    quota = quotas(counts, wanted, tags, size)
+    unnamed = _by_stratum(st.where("id is null")) if any(f.name == id_col and f.nullable for f in df.schema) else {}
+    quota = quotas({k: n - unnamed.get(k, 0) for k, n in counts.items()}, wanted, tags, size)
     named = spark.createDataFrame([(d, s, m, q) for (d, s, m), q in quota.items() if q], "d string, s string, mask int, quota long")
     bar = F.shiftrightunsigned("key", 64 - 12).cast("int")
     keyed = st.where("id is not null").withColumn("key", F.xxhash64(F.lit(seed), "id")).withColumn("bar", bar).withColumn("low", F.col("key").bitwiseAND(F.lit((1 << 52) - 1)))
