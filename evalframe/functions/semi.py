@@ -41,12 +41,16 @@ def list_text(c: Column) -> Column:
 
 @F.pandas_udf(ArrayType(StringType()))
 def texts_of_json_array(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The elements of a JSON array, strings as they are, others as JSON with a blank after comma and colon."""
+    """The elements of a JSON array, strings as they are, others as JSON with a blank after comma and colon.
+
+    An array too deeply nested to be read gives no elements."""
     def one(text: str | None) -> list[str] | None:
         try:
             value = json.loads(text) if text else None
         except ValueError:
             return [text]
+        except RecursionError:
+            return []
         if value is None:
             return []
         values = value if isinstance(value, list) else [value]

@@ -114,6 +114,14 @@ def parse_memory_limit(c: Column | str, default: int = 256) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(_col(c), r"[0-9]+", 0), F.lit("")).try_cast("int"), F.lit(default))
 
 
+def limit_overflows(c: Column | str, kind: str) -> Column:
+    """Whether a limit names a number that its type cannot hold; false for null and for texts without a number."""
+    digits = F.nullif(F.regexp_extract(_col(c), r"[0-9]+(?:\.[0-9]+)?" if kind == "double" else r"[0-9]+", 0), F.lit(""))
+    number = digits.try_cast(kind)
+    beyond = number.isNull() | (number == F.lit(float("inf"))) if kind == "double" else number.isNull()
+    return F.coalesce(digits.isNotNull() & beyond, F.lit(False))
+
+
 def first_non_empty(*cols: Column | str) -> Column:
     """X15."""
     return F.coalesce(*[F.nullif(_col(c), F.lit("")) for c in cols], F.lit(""))

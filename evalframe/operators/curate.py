@@ -48,12 +48,13 @@ def from_offset(df: DataFrame, offset: int, index: str = "row_index") -> DataFra
     return df.where(F.col(index) >= offset)
 
 
-def convert(df: DataFrame, index: str = "row_index", ratio: float = 0.7, min_tests: int = 2, max_repair: int = 20, max_eval: int = 10, prefix: str = "set", default_source: str = "raw", include_function_tasks: bool = False) -> DataFrame:
+def convert(df: DataFrame, index: str = "row_index", ratio: float = 0.7, min_tests: int = 2, max_repair: int = 20, max_eval: int = 10, prefix: str = "set", default_source: str = "raw", include_function_tasks: bool = False, target_language: str = "cpp17") -> DataFrame:
     """Row index, skip_reason (null: kept) and the bundle structs problem, tests, oracle.
 
     The rules are asked in order: tests that are no JSON object, function tasks, too few or unequal
-    tests, no solution. Missing columns of the raw schema must be supplied as nulls.
-    There is no conversion_error outcome (C5): a row that fails otherwise ends the job.
+    tests, no solution. Missing columns of the raw schema must be supplied as nulls. A row that fails
+    otherwise is skipped as conversion_error (C5): tests too deeply nested to be read, or limits that name a
+    number which is none for its type.
     """
     io = semi.parse_jsonish(F.col("input_output"))
     raw = lambda k: F.get_json_object(F.col("input_output"), f"$.{k}")
@@ -68,6 +69,7 @@ def convert(df: DataFrame, index: str = "row_index", ratio: float = 0.7, min_tes
         .when((F.col("_ni") < min_tests) | (F.col("_ni") != F.col("_no")), "bad_tests")
         .when(F.coalesce(F.size("_sol"), F.lit(0)) < 1, "no_solution")
         .when(F.col("_ni") < 2, "bad_tests")
+        .when((F.size("_in") != F.col("_ni")) | (F.size("_out") != F.col("_no")) | text.limit_overflows("time_limit", "double") | text.limit_overflows("memory_limit", "int"), "conversion_error")
     )
     repair, evals = split_cases(semi.zip_cases(F.col("_in"), F.col("_out")), ratio, max_repair, max_eval)
     title = F.coalesce(F.nullif("name", F.lit("")), F.format_string("Problem %d", F.col(index)))
@@ -75,7 +77,7 @@ def convert(df: DataFrame, index: str = "row_index", ratio: float = 0.7, min_tes
     statement = F.coalesce("question", F.lit(""))
     problem = F.struct(
         text.slug(F.concat(F.lit(f"{prefix}_"), F.col(index).cast("string"), F.lit("_"), title)).alias("id"), title.alias("title"), statement.alias("statement"), F.lit("").alias("input_format"), F.lit("").alias("output_format"),
-        text.constraint_lines(statement).alias("constraints"), F.lit("cpp17").alias("language"), text.parse_time_limit("time_limit").alias("time_limit_sec"), text.parse_memory_limit("memory_limit").alias("memory_limit_mb"),
+        text.constraint_lines(statement).alias("constraints"), F.lit(target_language).alias("language"), text.parse_time_limit("time_limit").alias("time_limit_sec"), text.parse_memory_limit("memory_limit").alias("memory_limit_mb"),
     )
     oracle = F.struct(
         F.coalesce("difficulty", F.lit("")).alias("difficulty"), tags_of(F.col("tags"), F.col("raw_tags"), F.col("skill_types")).alias("tags"),
@@ -87,6 +89,9 @@ def convert(df: DataFrame, index: str = "row_index", ratio: float = 0.7, min_tes
     return out.select(index, "skip_reason", *[F.when(kept, F.col(c)).alias(c) for c in ("problem", "tests", "oracle")])
 
 
+OUTCOMES = ("written", "function_task", "bad_tests", "no_solution", "conversion_error")
+
+
 def manifest(converted: DataFrame) -> DataFrame:
     """Written and skipped rows by reason."""
     return converted.groupBy(F.coalesce("skip_reason", F.lit("written")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,10 +9,12 @@ from evalframe.operators.limits import limit_on_scanned
 
 
 def load_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Earlier results; a missing path is an empty table."""
+    """Earlier results; a missing path is an empty table, any other trouble is an error."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import resource
+import signal
 import subprocess
 import sys
 import tempfile
@@ -19,29 +20,51 @@ from pyspark.sql import DataFrame
 from evalframe.schemas import CANDIDATE_RESULT
 
 
+#: what a program may write to one file or stream
+OUTPUT_MB = 16
+#: what a build may write
+BUILD_MB = 256
+
+
 def normalized(data: bytes | str) -> str:
     """Output as it is compared: decoded with replacement, one kind of line end, no white space at ends."""
     s = data.decode("utf-8", errors="replace") if isinstance(data, bytes) else data
     return "\n".join(line.rstrip() for line in s.replace("\r\n", "\n").replace("\r", "\n").split("\n")).rstrip("\n")
 
 
-def _limits(memory_mb: int, seconds: float):
+def _limits(memory_mb: int, seconds: float, output_mb: int):
     def apply() -> None:
         resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
         resource.setrlimit(resource.RLIMIT_CPU, (int(seconds) + 1, int(seconds) + 2))
         resource.setrlimit(resource.RLIMIT_CORE, (0, 0))
-        resource.setrlimit(resource.RLIMIT_FSIZE, (16 << 20, 16 << 20))
-        os.setsid()
+        resource.setrlimit(resource.RLIMIT_FSIZE, (output_mb << 20, output_mb << 20))
     return apply
 
 
-def _call(args: list[str], cwd: str, stdin: bytes, seconds: float, memory_mb: int) -> tuple[int | None, bytes, bytes]:
-    """(exit code or None on a time-out, stdout, stderr); partial output is kept."""
-    try:
-        done = subprocess.run(args, cwd=cwd, input=stdin, capture_output=True, timeout=seconds, preexec_fn=_limits(memory_mb, seconds), env={"PATH": os.environ.get("PATH", ""), "PYTHONDONTWRITEBYTECODE": "1"})
-        return done.returncode, done.stdout, done.stderr
-    except subprocess.TimeoutExpired as e:
-        return None, e.stdout or b"", e.stderr or b""
+def _call(args: list[str], cwd: str, stdin: bytes, seconds: float, memory_mb: int, output_mb: int = OUTPUT_MB) -> tuple[int | None, bytes, bytes]:
+    """(exit code or None on a time-out, stdout, stderr); partial output is kept.
+
+    Output goes to files that the file-size limit binds, so a program that prints without end is stopped
+    (its exit code is not 0) and never fills the executor. The program runs in a group of its own, and
+    whatever is left of the group is killed at the end.
+    """
+    with tempfile.TemporaryFile() as given, tempfile.TemporaryFile() as out, tempfile.TemporaryFile() as err:
+        given.write(stdin)
+        given.seek(0)
+        env = {"PATH": os.environ.get("PATH", ""), "PYTHONDONTWRITEBYTECODE": "1"}
+        run = subprocess.Popen(args, cwd=cwd, stdin=given, stdout=out, stderr=err, preexec_fn=_limits(memory_mb, seconds, output_mb), env=env, start_new_session=True)
+        try:
+            code: int | None = run.wait(seconds)
+        except subprocess.TimeoutExpired:
+            code = None
+        try:
+            os.killpg(run.pid, signal.SIGKILL)
+        except (ProcessLookupError, PermissionError):
+            pass
+        run.wait()
+        out.seek(0)
+        err.seek(0)
+        return code, out.read(output_mb << 20), err.read(output_mb << 20)
 
 
 def _run_tests(command: list[str], cwd: str, tests, default: float, suite: str, memory_mb: int) -> list[dict]:
@@ -65,7 +88,7 @@ def _one(language: str, code: str, tests, default: float, suite: str, memory_mb:
         else:
             build, command, limit = [compiler, "-std=c++17", "-O2", "-pipe", name, "-o", "main"], [os.path.join(d, "main")], 20.0
         try:
-            built, _, err = _call(build, d, b"", limit, max(memory_mb, 1024))
+            built, _, err = _call(build, d, b"", limit, max(memory_mb, 1024), BUILD_MB)
         except OSError as e:
             return False, f"compiler not available: {e}", []
         if built != 0:

@@ -20,6 +20,8 @@ PLACEHOLDER_REJECT = (
 REJECT_EXPLANATION = "该候选代码未通过测试验证，说明其算法、边界处理或输出格式存在问题，不应作为优先答案。"
 EXPLAIN_TAGS = ("根据题意分析输入规模和输出要求，结合 ", " 等算法思想设计解法。实现时需要按照题目给定的输入格式读取数据，并严格输出要求的结果。")
 EXPLAIN_PLAIN = "根据题意推导需要计算的目标，按照约束选择能在时间和空间限制内通过的方法。实现时需要准确处理输入输出格式和边界情况。"
+STRUCTURE = "Use this exact response structure:\nWrite Solution Explanation in Chinese.\nSolution Explanation:\n...\n\nTime Complexity: O(...)\nSpace Complexity: O(...)\n```cpp\n...\n```"
+ATTEMPT, FEEDBACK = "\nAttempt: ", "\nPrevious attempt feedback:\n"
 DEFAULT_REASONS = ("REPAIR_TEST_FAILED", "COMPILE_FAILED", "REPAIR_TEST_TIMEOUT", "HELD_OUT_TEST_FAILED")
 
 
@@ -39,9 +41,14 @@ def prompt(p: dict[str, Column]) -> Column:
 
 
 def generation_prompt(prompt_text: Column, feedback: Column, attempt: Column) -> Column:
-    """The prompt of one attempt, with at most 4000 characters of feedback."""
-    told = F.when(F.coalesce(feedback, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("\n\nFeedback from the previous attempt:\n"), F.substring(feedback, 1, 4000)))
-    return F.concat(prompt_text, F.lit("\n\nAttempt: "), attempt.cast("string"), told)
+    """The prompt of one attempt: the response structure, and at most 4000 characters of feedback."""
+    told = F.when(F.coalesce(feedback, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(FEEDBACK), F.substring(feedback, 1, 4000), F.lit("\n")))
+    return F.concat(prompt_text, F.lit(ATTEMPT), attempt.cast("string"), F.lit(f"\n{STRUCTURE}\n"), told)
+
+
+def format_prompt(prompt_text: Column) -> Column:
+    """The prompt of a format check."""
+    return F.concat(prompt_text, F.lit(f"\n\n{STRUCTURE}"))
 
 
 def best_solution(solutions: Column, reference: Column, language: str = "cpp17") -> Column:
@@ -123,26 +130,33 @@ def failure_pairs(failed: DataFrame, bundles: DataFrame, order: list[str], reaso
 
     ``failed``: problem_id, failure_reason, failed_code, time_complexity, space_complexity and the order
     columns. ``bundles``: problem_id, bundle_ord, prompt, answer, cpp; of repeated ids the last one holds.
-    An empty ``reasons`` lets all through. The lookup is an ordinary left join (its strategy is the
-    planner's choice by size), and only rows that pass all other rules compete for keep-first (a minimum, so
-    a group of any size combines before the shuffle). The order must be unique.
+    An empty ``reasons`` lets all through. Outcomes are decided on keys alone: digests of the codes, never
+    the texts, are joined and grouped, and only written rows fetch the prompt and the answer. The lookups are
+    ordinary joins (their strategy is the planner's choice by size), and only rows that pass all other rules
+    compete for keep-first (a minimum, so a group of any size combines before the shuffle). The order must
+    be unique.
     """
-    key = lambda c: F.sha2(normalize_code(F.coalesce(c, F.lit(""))), 256)
-    last = bundles.groupBy("problem_id").agg(F.max_by(F.struct("prompt", "answer", "cpp"), "bundle_ord").alias("b")).withColumn("cpp_key", key(F.col("b.cpp")))
-    mine = failed.withColumns({"problem_id": F.coalesce("problem_id", F.lit("")), "norm_key": key(F.col("failed_code")), "_at": F.struct(*order)})
-    joined = mine.join(last, "problem_id", "left")
-    code, chosen = F.coalesce("failed_code", F.lit("")), F.coalesce(F.col("b.cpp"), F.lit(""))
-    why = F.coalesce("failure_reason", F.lit(""))
+    key = lambda c: F.sha2(normalize_code(c), 256)
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    of = F.struct(F.when(blank("cpp") != "", key(blank("cpp"))).alias("_cpp_key"), F.col("bundle_ord").alias("_ord"))
+    last = bundles.select("problem_id", "bundle_ord", of.alias("of")).groupBy("problem_id").agg(F.max_by("of", "bundle_ord").alias("of")).select("problem_id", "of.*")
+    why = blank("failure_reason")
+    allowed = why.isin(*reasons) if reasons else F.lit(True)
+    mine = failed.withColumns({"problem_id": blank("problem_id"), "_norm_key": F.when(blank("failed_code") != "", key(blank("failed_code"))), "_at": F.struct(*order)})
     outcome = (
-        F.when(~why.isin(*reasons), "skipped_failure_reason") if reasons else F.when(F.lit(False), "")
-    ).when(F.col("b").isNull(), "skipped_no_problem").when(chosen == "", "skipped_no_verified_cpp").when(code == "", "skipped_no_failed_code").when(F.col("norm_key") == F.col("cpp_key"), "skipped_same_as_chosen")
-    keyed = joined.withColumn("outcome", outcome)
-    firsts = keyed.where("outcome is null").groupBy("problem_id", "norm_key").agg(F.min("_at").alias("_first"))
-    keyed = keyed.join(firsts, ["problem_id", "norm_key"], "left")
+        F.when(~allowed, "skipped_failure_reason").when(F.col("_ord").isNull(), "skipped_no_problem").when(F.col("_cpp_key").isNull(), "skipped_no_verified_cpp")
+        .when(F.col("_norm_key").isNull(), "skipped_no_failed_code").when(F.col("_norm_key") == F.col("_cpp_key"), "skipped_same_as_chosen")
+    )
+    keyed = mine.join(last, "problem_id", "left").withColumn("outcome", outcome)
+    able = mine.where(allowed & F.col("_norm_key").isNotNull()).select("problem_id", "_norm_key", "_at")
+    firsts = able.groupBy("problem_id", "_norm_key").agg(F.min("_at").alias("_first"))
+    keyed = keyed.join(firsts, ["problem_id", "_norm_key"], "left")
     final = F.coalesce("outcome", F.when(F.col("_at") == F.col("_first"), F.lit("written")).otherwise(F.lit("skipped_duplicate")))
-    return keyed.select(
-        *order, "problem_id", final.alias("outcome"), F.col("b.prompt").alias("prompt"), F.col("b.answer").alias("chosen"),
-        rejected_answer(F.col("time_complexity"), F.col("space_complexity"), code).alias("rejected"), why.alias("failure_reason"), F.coalesce("diagnostic_summary", F.lit("")).alias("diagnostic_summary"),
+    decided = keyed.withColumn("outcome", final).withColumn("_ord", F.when(F.col("outcome") == "written", F.col("_ord")))
+    texts = bundles.select("problem_id", F.col("bundle_ord").alias("_ord"), "prompt", F.col("answer").alias("chosen"))
+    return decided.join(texts, ["problem_id", "_ord"], "left").select(
+        *order, "problem_id", "outcome", "prompt", "chosen",
+        rejected_answer(F.col("time_complexity"), F.col("space_complexity"), blank("failed_code")).alias("rejected"), why.alias("failure_reason"), blank("diagnostic_summary").alias("diagnostic_summary"),
     )
 
 

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from evalframe.operators import training as t
 
 _W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NL = "chr(10)"
 
+# The wording of prompts and records, written out again so that a slip in either place shows.
+_SHAPE = "Solution Explanation:\n...\nTime Complexity: O(...)\nSpace Complexity: O(...)\n```cpp\n...\n```"
+_INSTRUCTION = f"Solve the algorithm problem using C++17 within the stated resource limits. The Solution Explanation section must be written in Chinese. Use this exact response structure:\n{_SHAPE}"
+_CONTRACT = "resource feasibility + compile + repair tests + held-out tests"
+_CLOSING = "Return a C++17 solution and structured time/space complexity analysis."
+_PLACEHOLDER = "Solution Explanation:\n该候选代码未能稳定通过验证，不应作为优先答案。\nTime Complexity: unknown\nSpace Complexity: unknown\n```cpp\n#include <bits/stdc++.h>\nusing namespace std;\nint main(){return 0;}\n```"
+_REJECTED_WHY = "该候选代码未通过测试验证，说明其算法、边界处理或输出格式存在问题，不应作为优先答案。"
+_TAGS_BEFORE, _TAGS_AFTER = "根据题意分析输入规模和输出要求，结合 ", " 等算法思想设计解法。实现时需要按照题目给定的输入格式读取数据，并严格输出要求的结果。"
+_NO_TAGS = "根据题意推导需要计算的目标，按照约束选择能在时间和空间限制内通过的方法。实现时需要准确处理输入输出格式和边界情况。"
+_STRUCTURE = "Use this exact response structure:\nWrite Solution Explanation in Chinese.\nSolution Explanation:\n...\n\nTime Complexity: O(...)\nSpace Complexity: O(...)\n```cpp\n...\n```"
+_REASONS = "'REPAIR_TEST_FAILED', 'COMPILE_FAILED', 'REPAIR_TEST_TIMEOUT', 'HELD_OUT_TEST_FAILED'"
+
 
 def _q(s: str) -> str:
     """A SQL string literal; line ends as chr()."""
@@ -85,8 +96,8 @@ def _fails(k: str, ty: str, n: str) -> str:
 
 _RUNS = """
 WITH e AS (
-  SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, row_number() OVER (PARTITION BY user_id, event_id // 256 ORDER BY ts, event_id) AS i FROM events
-), a AS (SELECT 'u' || user_id || '-' || (event_id // 256) AS problem_id, i AS attempt, event_id, event_type, value, k FROM e),
+  SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events
+), a AS (SELECT 'u' || user_id || '-' || (i // 4) AS problem_id, i % 4 + 1 AS attempt, event_id, event_type, value, k FROM e),
 p AS (
   SELECT problem_id, count(*) AS attempts, arg_max(event_id, attempt) AS ord, arg_max(event_type, attempt) AS lt, arg_max(value, attempt) AS lv, arg_max(k, attempt) AS lk,
     arg_min(event_type, attempt) FILTER (event_type <> 'view') AS ft, arg_max(event_type, attempt) FILTER (event_type <> 'view') AS xt,
@@ -101,13 +112,6 @@ p AS (
   FROM p
 )""".replace("{xf}", _fails("xk", "xt", "xk % 4")).replace("{lf}", _fails("lk", "lt", "2"))
 
-#: the same over runs of four consecutive events of a user
-_RUNS_BY_RANK = """
-WITH e AS (
-  SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events
-), a AS (SELECT 'u' || user_id || '-' || (i // 4) AS problem_id, i % 4 + 1 AS attempt, event_id, event_type, value, k FROM e),
-""" + _RUNS[_RUNS.index("p AS (") :]
-
 _CATEGORY = """
 f AS (SELECT *, xfails[1] AS i FROM r WHERE status IS DISTINCT FROM 'SOLVED'),
 g AS (
@@ -139,12 +143,12 @@ def _g(x: str) -> str:
 _PROMPT = (
     "'Title: ' || coalesce(title, '') || chr(10) || chr(10) || coalesce(statement, '') || chr(10) || chr(10) || 'Input format:' || chr(10) || coalesce(input_format, '') || chr(10) || chr(10) || "
     "'Output format:' || chr(10) || coalesce(output_format, '') || chr(10) || chr(10) || 'Constraints:' || chr(10) || coalesce(array_to_string(list_transform(list_filter(constraints, lambda c: c IS NOT NULL), lambda c: '- ' || c), chr(10)), '') || chr(10) || chr(10) || "
-    f"'Language: ' || coalesce(language, 'cpp17') || chr(10) || 'Time limit: ' || {_g('coalesce(time_limit_sec, 2.0)')} || ' seconds' || chr(10) || 'Memory limit: ' || coalesce(memory_limit_mb, 256) || ' MB' || chr(10) || chr(10) || {_q(t.CLOSING)}"
+    f"'Language: ' || coalesce(language, 'cpp17') || chr(10) || 'Time limit: ' || {_g('coalesce(time_limit_sec, 2.0)')} || ' seconds' || chr(10) || 'Memory limit: ' || coalesce(memory_limit_mb, 256) || ' MB' || chr(10) || chr(10) || {_q(_CLOSING)}"
 )
 _TRIMMED = _strip("coalesce(expected_complexity, '')")
 _TAGS = "coalesce(array_to_string(tags, ', '), '')"
 _ANSWER = (
-    f"'Solution Explanation:' || chr(10) || CASE WHEN {_TAGS} <> '' THEN {_q(t.EXPLAIN_TAGS[0])} || {_TAGS} || {_q(t.EXPLAIN_TAGS[1])} ELSE {_q(t.EXPLAIN_PLAIN)} END || chr(10) || chr(10) || "
+    f"'Solution Explanation:' || chr(10) || CASE WHEN {_TAGS} <> '' THEN {_q(_TAGS_BEFORE)} || {_TAGS} || {_q(_TAGS_AFTER)} ELSE {_q(_NO_TAGS)} END || chr(10) || chr(10) || "
     f"'Time Complexity: ' || {_field(_TRIMMED, 'time', 1)} || chr(10) || 'Space Complexity: ' || {_field(_TRIMMED, 'space', 2)} || chr(10) || '```cpp' || chr(10) || cpp || chr(10) || '```'"
 )
 _LAST = """
@@ -171,9 +175,9 @@ _REJ = "coalesce(rejected, '')"
 _DPO = f"""{_BUNDLES},
 q AS (SELECT pair_id, coalesce(problem_id, '') AS problem_id, coalesce(failure_reason, '') AS why, {_extract(_REJ, True)} AS code, {_declared(_REJ, 'time')} AS tc, {_declared(_REJ, 'space')} AS sc FROM dpo_pairs),
 j AS (SELECT q.*, b.problem_id IS NOT NULL AS known, b.cpp, b.answer, {_norm_code('q.code')} AS norm, {_norm_code("coalesce(b.cpp, '')")} AS cnorm FROM q LEFT JOIN b USING (problem_id)),
-k AS (SELECT *, CASE WHEN why NOT IN ({', '.join(repr(x) for x in t.DEFAULT_REASONS)}) THEN 'skipped_failure_reason' WHEN NOT known THEN 'skipped_no_problem' WHEN cpp = '' THEN 'skipped_no_verified_cpp' WHEN code = '' THEN 'skipped_no_failed_code' WHEN norm = cnorm THEN 'skipped_same_as_chosen' END AS o FROM j),
+k AS (SELECT *, CASE WHEN why NOT IN ({_REASONS}) THEN 'skipped_failure_reason' WHEN NOT known THEN 'skipped_no_problem' WHEN cpp = '' THEN 'skipped_no_verified_cpp' WHEN code = '' THEN 'skipped_no_failed_code' WHEN norm = cnorm THEN 'skipped_same_as_chosen' END AS o FROM j),
 w AS (SELECT *, coalesce(o, CASE WHEN row_number() OVER (PARTITION BY problem_id, norm, o IS NULL ORDER BY pair_id) > 1 THEN 'skipped_duplicate' ELSE 'written' END) AS outcome FROM k)"""
-_REJECTED = f"'Solution Explanation:' || chr(10) || {_q(t.REJECT_EXPLANATION)} || chr(10) || chr(10) || 'Time Complexity: ' || tc || chr(10) || 'Space Complexity: ' || sc || chr(10) || '```cpp' || chr(10) || {_strip('code')} || chr(10) || '```'"
+_REJECTED = f"'Solution Explanation:' || chr(10) || {_q(_REJECTED_WHY)} || chr(10) || chr(10) || 'Time Complexity: ' || tc || chr(10) || 'Space Complexity: ' || sc || chr(10) || '```cpp' || chr(10) || {_strip('code')} || chr(10) || '```'"
 
 _B1 = r"\b([a-z][a-z0-9_]*)\s*<=\s*([0-9]+(?:e[0-9]+)?)"
 _B2 = r"(?:[0-9]+(?:e[0-9]+)?\s*<=\s*)?([a-z][a-z0-9_]*(?:\s+[a-z][a-z0-9_]*)*)\s*<=\s*([0-9]+(?:e[0-9]+)?)"
@@ -237,11 +241,6 @@ SELECT problem_id, ts AS time_status, ms AS memory_status, budget AS operation_b
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = _oracle_sql()
-    return sql | {f"{n}_by_rank": _RUNS_BY_RANK + s.removeprefix(_RUNS) for n, s in sql.items() if s.startswith(_RUNS)}
-
-
-def _oracle_sql() -> dict[str, str]:
     rej, cho = _REJ, "coalesce(chosen, '')"
     rates = "count(*) AS num_problems, " + ", ".join(f"round(coalesce(avg(CASE WHEN {a} THEN 1.0::DOUBLE ELSE 0.0 END), 0), 9) AS {a if a != 'format_valid' else a}_rate" for a in ("format_valid", "chinese_explanation", "complexity_field", "cpp_code_block"))
     valid = "explanation_field AND chinese_explanation AND complexity_field AND cpp_code_block AS format_valid"
@@ -274,21 +273,20 @@ def _oracle_sql() -> dict[str, str]:
         "complexity_fields": f"SELECT oracle_id, {_field(_TRIMMED, 'time', 1)} AS time_complexity, {_field(_TRIMMED, 'space', 2)} AS space_complexity FROM oracle_meta",
         "declared_complexity": f"SELECT pair_id, {_declared(cho, 'time')} AS time_complexity, {_declared(cho, 'space')} AS space_complexity FROM dpo_pairs",
         "output_equality": f"SELECT case_id, {flat(chr(99) + 'oalesce(expected_stdout, ' + chr(39) * 2 + ')')} = {flat('coalesce(lower(expected_stdout), ' + chr(39) + ' ' + chr(39) + ')')} AS same_tokens FROM test_cases",
-        "format_adherence": f"SELECT *, {valid} FROM (SELECT pair_id, {_format_flags(rej)}, length(substr({rej}, 1, 1000)) AS preview_chars FROM dpo_pairs)",
+        "format_adherence": f"SELECT *, {valid} FROM (SELECT pair_id, {_format_flags(rej)}, md5(substr({rej}, 1, 1000)) AS preview_md5 FROM dpo_pairs)",
         "format_rates": f"SELECT {rates} FROM (SELECT *, {valid} FROM (SELECT {_format_flags(cho)} FROM dpo_pairs))",
         "format_reward": f"SELECT pair_id, round({case.format(c=cho, s='```cpp')} + {case.format(c=cho, s='Complexity:')} + CASE WHEN strpos({cho}, '#include') > 0 AND strpos({cho}, 'int main') > 0 THEN 0.2::DOUBLE ELSE 0.0 END, 9) AS reward FROM dpo_pairs",
         "variable_bounds": f"WITH {_bounds('problem_specs', 'spec_id')} SELECT spec_id, variable, bound FROM bounds",
         "complexity_estimate": _EST,
         "code_memory": _MEMORY,
         "resource_verdict": _VERDICT,
-        "case_ids": "SELECT case_id, coalesce(nullif(id, ''), nullif(name, ''), printf('%s-%04d', coalesce(suite, 'test'), coalesce(pos, 0) + 1)) AS test_id FROM test_cases",
+        "case_ids": "SELECT case_id, coalesce(nullif(id, ''), nullif(name, ''), printf('repair-%04d', row_number() OVER (PARTITION BY problem_id, suite, coalesce(pos, 0) // 32 ORDER BY case_id))) AS test_id FROM test_cases",
         "split_repair_eval": "WITH n AS (SELECT problem_id, count(*) AS n FROM test_cases WHERE problem_id IS NOT NULL GROUP BY problem_id HAVING count(*) > 1), k AS (SELECT *, least(n - 1, greatest(1, CAST(round_even(n * 0.7::DOUBLE, 0) AS BIGINT))) AS k FROM n) SELECT problem_id, n, least(k, 20) AS repair, least(n - k, 10) AS eval FROM k",
         "limit_on_success": "SELECT solution_id, verified FROM (SELECT *, coalesce(sum(CASE WHEN verified AND language = 'cpp17' THEN 1 ELSE 0 END) OVER (ORDER BY solution_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM solutions) WHERE done < 50",
         "verified_filter": f"WITH {_LAST} SELECT problem_id, n FROM l0 WHERE vcpp IS NOT NULL",
         "best_solution": f"WITH {_LAST} SELECT problem_id, md5(coalesce(vcpp, acpp, reference_solution, '')) AS best, md5(coalesce(vpy, apy, '')) AS best_python, md5(coalesce(vcpp, reference_solution, '')) AS training FROM l0 FULL JOIN o0 USING (problem_id)",
         "tag_union": "WITH u AS (SELECT oracle_id, list_filter(list_concat(coalesce(tags, []), [difficulty], [source]), lambda x: x IS NOT NULL AND x <> '') AS l FROM oracle_meta) SELECT oracle_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS tags FROM u",
-        "convert_manifest": f"WITH {_LAST}, n AS (SELECT problem_id, case_id // 64 AS block, min(case_id) AS i, count(*) AS n FROM test_cases WHERE problem_id IS NOT NULL GROUP BY ALL), c AS (SELECT CASE WHEN i % 17 = 0 THEN 'bad_tests' WHEN i % 19 = 0 THEN 'function_task' WHEN n.n < 2 THEN 'bad_tests' WHEN coalesce(vcpp, acpp, vpy, apy) IS NULL THEN 'no_solution' ELSE 'written' END AS outcome FROM n LEFT JOIN l0 ON l0.problem_id = n.problem_id) SELECT outcome, count(*) AS n FROM c GROUP BY outcome",
-        "convert_specifications": f"{_WHOLE}, o AS (SELECT outcome FROM w UNION ALL SELECT 'bad_tests' FROM problem_specs WHERE spec_id % 17 = 0 UNION ALL SELECT 'function_task' FROM problem_specs WHERE spec_id % 19 = 0) SELECT outcome, count(*) AS n FROM o GROUP BY outcome",
+        "convert_manifest": f"{_WHOLE}, o AS (SELECT outcome FROM w UNION ALL SELECT 'bad_tests' FROM problem_specs WHERE spec_id % 17 = 0 UNION ALL SELECT 'function_task' FROM problem_specs WHERE spec_id % 19 = 0) SELECT outcome, count(*) AS n FROM o GROUP BY outcome",
         "convert_bundles": f"""{_WHOLE}, z AS (SELECT problem_id, greatest(1, CAST(round_even(n * 0.7::DOUBLE, 0) AS BIGINT)) AS k0, n FROM n WHERE n > 1), k AS (SELECT problem_id, n, least(n - 1, k0) AS k FROM z),
 x AS (SELECT problem_id, row_number() OVER (PARTITION BY problem_id ORDER BY case_id) AS i, coalesce(stdin, '') || chr(31) || coalesce(expected_stdout, '') AS x FROM test_cases WHERE problem_id IS NOT NULL),
 td AS (SELECT problem_id, least(any_value(k), 20) AS rn, least(any_value(n) - any_value(k), 10) AS en, md5(string_agg(x, chr(30) ORDER BY i) FILTER (i <= least(k, 20))) AS rd, md5(string_agg(x, chr(30) ORDER BY i) FILTER (i > k AND i <= k + 10)) AS ed FROM x JOIN k USING (problem_id) GROUP BY problem_id),
@@ -297,9 +295,10 @@ SELECT spec_id, outcome, CASE WHEN outcome = 'written' THEN rn ELSE NULL END AS
 FROM w LEFT JOIN td ON td.problem_id = w.problem_id LEFT JOIN cd ON cd.problem_id = w.problem_id""",
         "prompts": f"{_BUNDLES} SELECT problem_id, md5(prompt) AS prompt_md5 FROM b",
         "sft_records": f"{_BUNDLES} SELECT problem_id, md5(prompt) AS input_md5, md5(answer) AS output_md5 FROM b WHERE cpp <> ''",
-        "template_dpo_records": f"{_BUNDLES} SELECT problem_id, md5(answer) AS chosen_md5, {len(t.PLACEHOLDER_REJECT)} AS rejected_chars FROM b WHERE cpp <> ''",
-        "grpo_prompts": f"{_BUNDLES} SELECT problem_id, {_q(t.REWARD_CONTRACT)} AS reward_contract, length(prompt) AS prompt_chars FROM b",
-        "chat_records": f"{_BUNDLES} SELECT problem_id, {len(t.INSTRUCTION) + len('<|im_start|>system' + chr(10) + 'Answer with a verified solution.<|im_end|>' + chr(10) + '<|im_start|>user' + chr(10) + chr(10) + '<|im_end|>' + chr(10) + '<|im_start|>assistant' + chr(10) + '<|im_end|>')} + length(prompt) + length(answer) AS chat_chars, '<|im_start|>' AS head FROM b WHERE cpp <> ''",
+        "template_dpo_records": f"{_BUNDLES} SELECT problem_id, md5(answer) AS chosen_md5, md5({_q(_PLACEHOLDER)}) AS rejected_md5 FROM b WHERE cpp <> ''",
+        "grpo_prompts": f"{_BUNDLES} SELECT problem_id, {_q(_CONTRACT)} AS reward_contract, md5(prompt) AS prompt_md5 FROM b",
+        "chat_records": f"{_BUNDLES} SELECT problem_id, md5({_q('<|im_start|>system' + chr(10) + 'Answer with a verified solution.<|im_end|>' + chr(10) + '<|im_start|>user' + chr(10))} || {_q(_INSTRUCTION)} || chr(10) || prompt || {_q('<|im_end|>' + chr(10) + '<|im_start|>assistant' + chr(10))} || answer || '<|im_end|>') AS chat_md5 FROM b WHERE cpp <> ''",
+        "generation_prompts": f"{_BUNDLES} SELECT problem_id, md5(prompt || chr(10) || 'Attempt: 1' || chr(10) || {_q(_STRUCTURE)} || chr(10)) AS first_md5, md5(prompt || chr(10) || 'Attempt: 2' || chr(10) || {_q(_STRUCTURE)} || chr(10) || chr(10) || 'Previous attempt feedback:' || chr(10) || substr(repeat(answer, 20), 1, 4000) || chr(10)) AS later_md5, md5(prompt || chr(10) || chr(10) || {_q(_STRUCTURE)}) AS format_md5 FROM b",
         "dpo_outcomes": f"{_DPO} SELECT pair_id, outcome FROM w",
         "dpo_skip_stats": f"{_DPO} SELECT outcome, count(*) AS n FROM w GROUP BY outcome",
         "dpo_records": f"{_DPO} SELECT pair_id, problem_id, why AS failure_reason, md5(answer) AS chosen_md5, md5({_REJECTED}) AS rejected_md5 FROM w WHERE outcome = 'written'",
@@ -309,6 +308,14 @@ FROM w LEFT JOIN td ON td.problem_id = w.problem_id LEFT JOIN cd ON cd.problem_i
         "lookup_last_wins": "SELECT pair_id, max(s.spec_id) AS spec_id FROM dpo_pairs d LEFT JOIN problem_specs s ON s.problem_id = d.problem_id GROUP BY pair_id, d.problem_id",
         "leak_guard": f"{_BUNDLES} SELECT problem_id FROM b WHERE {_strip('cpp')} <> '' AND strpos(prompt, cpp) > 0",
         "resume_stream": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY event_type",
-        "run_python_oracles": "SELECT * FROM (VALUES ('sum', true, true, false), ('late', true, false, true), ('bad', false, NULL, NULL), ('wrong', true, false, false), ('crash', true, false, false)) v(candidate_id, compiled, passed, timed_out)",
-        "repair_loop": "SELECT * FROM (VALUES ('first', 'SOLVED', 1, NULL), ('second', 'SOLVED', 2, NULL), ('never', 'FAILED', 4, 'REPAIR_TEST_FAILED'), ('overfit', 'FAILED', 1, 'HELD_OUT_TEST_FAILED'), ('slow', 'SOLVED', 3, NULL), ('untested', 'FAILED', 0, 'MISSING_REPAIR_TESTS')) v(problem_id, status, attempts, failure_reason)",
+        "run_python_oracles": "SELECT 'n' || n_nationkey AS candidate_id, n_nationkey % 7 <> 2 AS compiled, CASE WHEN n_nationkey % 7 <> 2 THEN n_nationkey % 7 = 0 END AS passed, CASE WHEN n_nationkey % 7 <> 2 THEN n_nationkey % 7 IN (1, 5) END AS endless FROM nation",
+        "repair_loop": """WITH k AS (SELECT 'n' || n_nationkey AS problem_id, n_nationkey % 6 AS k, n_nationkey || ' ' || n_regionkey AS i, n_nationkey + n_regionkey AS s FROM nation)
+SELECT problem_id, CASE WHEN k IN (0, 1, 4) THEN 'SOLVED' ELSE 'FAILED' END AS status, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 3 ELSE 4 END AS attempts,
+  CASE k WHEN 2 THEN 'REPAIR_TEST_FAILED' WHEN 3 THEN 'HELD_OUT_TEST_FAILED' WHEN 5 THEN 'COMPILE_FAILED' END AS failure_reason,
+  CASE k WHEN 2 THEN 'Repair test failed: repair-0001' || chr(10) || 'Input:' || chr(10) || i || chr(10) || 'Expected:' || chr(10) || s || chr(10) || 'Actual:' || chr(10) || 'no' || chr(10) || 'Stderr:' || chr(10)
+    WHEN 3 THEN 'Held-out evaluation failed: 1/1 tests failed; 0 timed out. Test inputs and expected outputs are withheld.' WHEN 5 THEN 'Compilation failed:' || chr(10) || 'The generator gave no program.' END AS diagnostic_summary,
+  CASE k WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 3 THEN 5 WHEN 4 THEN 9 ELSE 13 END AS traces, 'language=python3; time_limit=2s; memory_limit=64MB' AS opening FROM k""",
+        "verify_python_oracles": "SELECT 'n' || n_nationkey AS problem_id, CASE n_nationkey % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'verified' WHEN 2 THEN 'failed_python_solution' ELSE 'no_python_solution' END AS outcome, CASE n_nationkey % 4 WHEN 0 THEN 'true,false' WHEN 1 THEN 'false,true' WHEN 2 THEN 'false,false' ELSE 'false' END AS marks FROM nation",
+        "translate_oracles": """WITH k AS (SELECT *, n_nationkey % 4 < 2 AS ok, sum(CASE WHEN n_nationkey % 4 < 2 THEN 1 ELSE 0 END) OVER (ORDER BY n_nationkey) AS nth FROM nation)
+SELECT 'n' || n_nationkey AS problem_id, CASE WHEN ok THEN 'translated' ELSE 'no_verified_python' END AS outcome, CASE WHEN ok THEN 3 WHEN n_nationkey % 4 = 2 THEN 2 ELSE 1 END AS solutions, CASE WHEN ok THEN 'print(sum(map(int, input().split())))' ELSE '' END AS reference, ok AND nth <= 5 AS kept FROM k""",
     }

@@ -15,41 +15,41 @@ S, D = SparkSession, DataFrame
 # metrics
 
 
-def metrics_summary(spark: S, d: str, results=views.results) -> D:
-    out = metrics.summarize(results(spark, d))
+def metrics_summary(spark: S, d: str) -> D:
+    out = metrics.summarize(views.results(spark, d))
     return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
-def per_problem_rates(spark: S, d: str, results=views.results) -> D:
-    return metrics.per_problem(results(spark, d)).select("problem_id", "first_compiled", "final_compiled", F.round("repair_rate", 9).alias("repair_rate"), F.round("held_out_rate", 9).alias("held_out_rate"), "turns")
+def per_problem_rates(spark: S, d: str) -> D:
+    return metrics.per_problem(views.results(spark, d)).select("problem_id", "first_compiled", "final_compiled", F.round("repair_rate", 9).alias("repair_rate"), F.round("held_out_rate", 9).alias("held_out_rate"), "turns")
 
 
-def failure_breakdown(spark: S, d: str, results=views.results) -> D:
-    return metrics.failure_breakdown(results(spark, d), F.col("report_ord"))
+def failure_breakdown(spark: S, d: str) -> D:
+    return metrics.failure_breakdown(views.results(spark, d), F.col("report_ord"))
 
 
-def failure_histogram(spark: S, d: str, results=views.results) -> D:
-    return metrics.ordered_histogram(diagnose.failures(results(spark, d)), "category", F.col("report_ord"))
+def failure_histogram(spark: S, d: str) -> D:
+    return metrics.ordered_histogram(diagnose.failures(views.results(spark, d)), "category", F.col("report_ord"))
 
 
-def failure_totals(spark: S, d: str, results=views.results) -> D:
-    return diagnose.totals(results(spark, d)).withColumn("verified_success_rate", F.round("verified_success_rate", 9))
+def failure_totals(spark: S, d: str) -> D:
+    return diagnose.totals(views.results(spark, d)).withColumn("verified_success_rate", F.round("verified_success_rate", 9))
 
 
-def diagnostic_categories(spark: S, d: str, results=views.results) -> D:
-    return diagnose.failures(results(spark, d)).select("problem_id", "category")
+def diagnostic_categories(spark: S, d: str) -> D:
+    return diagnose.failures(views.results(spark, d)).select("problem_id", "category")
 
 
-def topk_examples(spark: S, d: str, results=views.results) -> D:
-    return diagnose.first_examples(diagnose.failures(results(spark, d)), ["report_ord"]).select("category", "example", "problem_id", "diagnostic_summary", "test_id", "expected", "actual", "last_trace")
+def topk_examples(spark: S, d: str) -> D:
+    return diagnose.first_examples(diagnose.failures(views.results(spark, d)), ["report_ord"]).select("category", "example", "problem_id", "diagnostic_summary", "test_id", "expected", "actual", "last_trace")
 
 
-def agent_failure_reason(spark: S, d: str, results=views.results) -> D:
-    return results(spark, d).select("problem_id", diagnose.agent_failure_reason(F.col("attempt_records")).alias("reason"))
+def agent_failure_reason(spark: S, d: str) -> D:
+    return views.results(spark, d).select("problem_id", diagnose.agent_failure_reason(F.col("attempt_records")).alias("reason"))
 
 
-def held_out_summaries(spark: S, d: str, results=views.results) -> D:
-    r = results(spark, d).where("held_out_result is not null")
+def held_out_summaries(spark: S, d: str) -> D:
+    r = views.results(spark, d).where("held_out_result is not null")
     return r.select("problem_id", diagnose.held_out_summary(F.col("held_out_result")).alias("summary"))
 
 
@@ -111,7 +111,7 @@ def output_equality(spark: S, d: str) -> D:
 
 
 def format_adherence(spark: S, d: str) -> D:
-    return formatcheck.score(table(spark, d, "dpo_pairs").select("pair_id", F.col("rejected").alias("completion"))).select("pair_id", "explanation_field", "chinese_explanation", "complexity_field", "cpp_code_block", "format_valid", F.length("response_preview").alias("preview_chars"))
+    return formatcheck.score(table(spark, d, "dpo_pairs").select("pair_id", F.col("rejected").alias("completion"))).select("pair_id", "explanation_field", "chinese_explanation", "complexity_field", "cpp_code_block", "format_valid", F.md5("response_preview").alias("preview_md5"))
 
 
 def format_rates(spark: S, d: str) -> D:
@@ -157,9 +157,11 @@ def code_memory(spark: S, d: str) -> D:
 
 
 def case_ids(spark: S, d: str) -> D:
-    t = table(spark, d, "test_cases")
-    name = F.coalesce(F.nullif("id", F.lit("")), F.nullif("name", F.lit("")), F.format_string("%s-%04d", F.coalesce("suite", F.lit("test")), F.coalesce("pos", F.lit(0)) + 1))
-    return t.select("case_id", name.alias("test_id"))
+    """Ids of the tests of a problem's suite, by their place in a run of 32 positions (so that no list is unbounded)."""
+    t = table(spark, d, "test_cases").withColumn("run", F.floor(F.coalesce("pos", F.lit(0)) / 32))
+    lists = t.groupBy("problem_id", "suite", "run").agg(F.sort_array(F.collect_list(F.struct("case_id", "id", "name"))).alias("cs"))
+    named = lists.select(F.arrays_zip(F.col("cs.case_id").alias("case_id"), curate.case_ids(F.col("cs"), "repair").alias("test_id")).alias("z"))
+    return named.select(F.explode("z").alias("z")).select("z.case_id", "z.test_id")
 
 
 def split_repair_eval(spark: S, d: str) -> D:
@@ -190,26 +192,6 @@ def tag_union(spark: S, d: str) -> D:
 
 
 def convert_manifest(spark: S, d: str) -> D:
-    """Raw rows built from the tables (JSON strings), converted and counted by outcome."""
-    return curate.manifest(curate.convert(raw_rows(spark, d)))
-
-
-def raw_rows(spark: S, d: str) -> D:
-    """The raw dataset shape, JSON-encoded tests and solutions: one row for a problem's tests in each block of 64 case ids."""
-    cases = table(spark, d, "test_cases").where("problem_id is not null").withColumn("block", F.floor(F.col("case_id") / 64))
-    cases = cases.groupBy("problem_id", "block").agg(F.min("case_id").alias("row_index"), F.sort_array(F.collect_list(F.struct("case_id", "stdin", "expected_stdout"))).alias("cs"))
-    io = F.to_json(F.struct(F.transform("cs", lambda c: F.coalesce(c["stdin"], F.lit(""))).alias("inputs"), F.transform("cs", lambda c: F.coalesce(c["expected_stdout"], F.lit(""))).alias("outputs")))
-    codes = F.to_json(F.array_distinct(F.array_compact(F.array("vcpp", "acpp", "vpy", "apy"))))
-    j = cases.join(views.specs(spark, d), "problem_id", "left").join(views.picks(spark, d), "problem_id", "left")
-    null, i = F.lit(None).cast("string"), F.col("row_index")
-    return j.select(
-        "row_index", F.col("title").alias("name"), F.col("statement").alias("question"), F.when(i % 17 == 0, "not json").when(i % 19 == 0, '{"fn_name": "f", "inputs": [1], "outputs": [2]}').otherwise(io).alias("input_output"), codes.alias("solutions"),
-        null.alias("difficulty"), F.lit('["a", "b"]').alias("tags"), F.lit("b").alias("raw_tags"), null.alias("skill_types"), null.alias("source"), null.alias("url"), F.lit("1.5 seconds").alias("time_limit"), F.lit("128 megabytes").alias("memory_limit"),
-        F.lit("O(n)").alias("Expected Time Complexity"), null.alias("Expected Auxiliary Space"), null.alias("expected_time_complexity"), null.alias("expected_space_complexity"),
-    )
-
-
-def convert_specifications(spark: S, d: str) -> D:
     """Every specification with all tests and codes of its problem, and some spoilt rows besides, converted and counted by outcome."""
     return curate.manifest(curate.convert(specification_rows(spark, d)))
 
@@ -255,22 +237,29 @@ def prompts(spark: S, d: str) -> D:
     return views.bundles(spark, d).select("problem_id", F.md5("prompt").alias("prompt_md5"))
 
 
+def generation_prompts(spark: S, d: str) -> D:
+    """The prompt of a first and of a later attempt, and that of a format check."""
+    b = views.bundles(spark, d)
+    first, later = (training.generation_prompt(F.col("prompt"), f, F.lit(i)) for i, f in ((1, F.lit("")), (2, F.repeat("answer", F.lit(20)))))
+    return b.select("problem_id", F.md5(first).alias("first_md5"), F.md5(later).alias("later_md5"), F.md5(training.format_prompt(F.col("prompt"))).alias("format_md5"))
+
+
 def sft_records(spark: S, d: str) -> D:
     return training.sft_records(views.bundles(spark, d)).select("problem_id", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"))
 
 
 def template_dpo_records(spark: S, d: str) -> D:
-    return training.template_dpo_records(views.bundles(spark, d)).select("problem_id", F.md5("chosen").alias("chosen_md5"), F.length("rejected").alias("rejected_chars"))
+    return training.template_dpo_records(views.bundles(spark, d)).select("problem_id", F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"))
 
 
 def grpo_prompts(spark: S, d: str) -> D:
-    return training.grpo_records(views.bundles(spark, d)).select("problem_id", "reward_contract", F.length("prompt").alias("prompt_chars"))
+    return training.grpo_records(views.bundles(spark, d)).select("problem_id", "reward_contract", F.md5("prompt").alias("prompt_md5"))
 
 
 def chat_records(spark: S, d: str) -> D:
     r = training.sft_records(views.bundles(spark, d))
     chat = training.chat_text("Answer with a verified solution.", F.col("instruction"), F.col("input"), F.col("output"))
-    return r.select("problem_id", F.length(chat).alias("chat_chars"), F.substring(chat, 1, 12).alias("head"))
+    return r.select("problem_id", F.md5(chat).alias("chat_md5"))
 
 
 def _failed(spark: S, d: str) -> D:
@@ -306,8 +295,8 @@ def resume_remaining(spark: S, d: str) -> D:
     return incremental.remaining(views.specs(spark, d).select("problem_id", "spec_id"), done, order="spec_id").select("problem_id", "spec_id")
 
 
-def resume_merge(spark: S, d: str, results=views.results) -> D:
-    r = results(spark, d).select("problem_id", "status", "report_ord")
+def resume_merge(spark: S, d: str) -> D:
+    r = views.results(spark, d).select("problem_id", "status", "report_ord")
     half = r.where("report_ord % 2 = 0")
     return incremental.merged(half, incremental.remaining(r, half)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -323,66 +312,74 @@ def leak_guard(spark: S, d: str) -> D:
     return b.where((F.length(text.strip("cpp")) > 0) & F.contains(F.col("prompt"), F.col("cpp"))).select("problem_id")
 
 
-def run_python_oracles(spark: S, d: str) -> D:
-    """Fixed small programs of our own through the sandbox: no program of the data tables is ever run."""
-    from evalframe.operators import sandbox
-
-    cases = "array(named_struct('id','repair-0001','name',cast(null as string),'stdin','2 3','expected_stdout','5','timeout_sec',cast(null as double)))"
-    rows = [("sum", "a, b = map(int, input().split())\nprint(a + b)"), ("late", "while True:\n    pass"), ("bad", "print("), ("wrong", "print(6)"), ("crash", "print(5)\nraise SystemExit(3)")]
-    df = spark.createDataFrame(rows, "candidate_id string, code string").select("candidate_id", "code", F.expr(cases).alias("tests"), F.lit(1.0).alias("timeout_sec"), F.lit("repair").alias("suite"))
-    return sandbox.evaluate(df).select("candidate_id", "compiled", F.expr("get(tests, 0).passed").alias("passed"), F.expr("get(tests, 0).timed_out").alias("timed_out"))
-
+def _nations(spark: S, d: str) -> D:
+    """Small problems of our own over the nation table: add the two keys. Programs of data tables are never run."""
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("problem_id"), F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("r"))
+    none = F.lit(None)
+    case = lambda i, x, y: F.struct(F.lit(i).alias("id"), none.cast("string").alias("name"), F.concat_ws(" ", x.cast("string"), y.cast("string")).alias("stdin"), (x + y).cast("string").alias("expected_stdout"), F.lit(2.0).alias("timeout_sec"))
+    k, r = F.col("k"), F.col("r")
+    return n.withColumns({"repair_tests": F.array(case("repair-0001", k, r)), "eval_tests": F.array(case("eval-0001", k + 1, r + 5))})
 
-def repair_loop(spark: S, d: str) -> D:
-    from evalframe.operators import loop
 
-    return loop.demonstration(spark).select("problem_id", "status", "attempts", "failure_reason")
+GOOD, BAD = "print(sum(map(int, input().split())))", "print('no')"
 
 
-def resume_stream(spark: S, d: str) -> D:
-    from evalframe.streaming.resume import stream_counts
-
-    return stream_counts(spark, f"{d}/events.parquet")
-
-
-# the same over runs of four consecutive events of a user
-
-
-def metrics_summary_by_rank(spark: S, d: str) -> D:
-    return metrics_summary(spark, d, views.results_by_rank)
-
-
-def per_problem_rates_by_rank(spark: S, d: str) -> D:
-    return per_problem_rates(spark, d, views.results_by_rank)
-
+def run_python_oracles(spark: S, d: str) -> D:
+    """A program of our own for each row of the nation table, of a kind chosen by its key, through the sandbox."""
+    from evalframe.operators import sandbox
 
-def failure_breakdown_by_rank(spark: S, d: str) -> D:
-    return failure_breakdown(spark, d, views.results_by_rank)
+    kinds = [GOOD, "import sys\nsys.stdout.write(input())\nwhile True:\n    pass", "print(", BAD, GOOD + "\nraise SystemExit(3)", "while True:\n    print('x' * 99)", "import sys\nsys.stdout.buffer.write(b'\\xff')"]
+    code = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("k") % len(kinds) + 1).cast("int"))
+    df = _nations(spark, d).select(F.col("problem_id").alias("candidate_id"), code.alias("code"), F.col("repair_tests").alias("tests"), F.lit(2.0).alias("timeout_sec"), F.lit("repair").alias("suite"))
+    first = lambda f: F.expr(f"get(tests, 0).{f}")
+    return sandbox.evaluate(df).select("candidate_id", "compiled", first("passed").alias("passed"), (first("timed_out") | (F.length(first("actual")) > 1000)).alias("endless"))
 
 
-def failure_histogram_by_rank(spark: S, d: str) -> D:
-    return failure_histogram(spark, d, views.results_by_rank)
+def repair_loop(spark: S, d: str) -> D:
+    """The loop over the nation table: answers at once, after a repair, never, overfitted, too slow at first, or none at all."""
+    from evalframe.operators import loop
 
+    spec = {"title": F.lit("Sum"), "statement": F.lit("Add two numbers."), "input_format": F.lit(""), "output_format": F.lit(""), "constraints": F.array(F.lit("1 <= n <= 100000")), "language": F.lit("python3"), "time_limit_sec": F.lit(2.0), "memory_limit_mb": F.lit(64)}
+    n = _nations(spark, d)
+    kind = (F.col("k") % 6).cast("int")
+    tries = n.select("problem_id", kind.alias("kind"), F.concat(F.lit("input()\nprint("), (F.col("k") + F.col("r")).cast("string"), F.lit(")")).alias("fixed"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
+    code = F.when(F.col("kind") == 3, F.col("fixed")).when((F.col("kind") == 2) | (F.col("kind") == 1) & (F.col("attempt") == 1), BAD).otherwise(GOOD)
+    time = F.when((F.col("kind") == 4) & (F.col("attempt") < 3), "O(n^2)").otherwise("O(n)")
+    answers = tries.where("kind < 5").select("problem_id", "attempt", code.alias("code"), time.alias("time_complexity"), F.lit("O(1)").alias("space_complexity"))
+    out = loop.solve(n.withColumns(spec).drop("k", "r"), loop.table_generator(answers), memory_mb=1024)
+    return out.select("problem_id", "status", "attempts", "failure_reason", "diagnostic_summary", F.size("traces").alias("traces"), F.element_at("traces", 1)["message"].alias("opening"))
 
-def failure_totals_by_rank(spark: S, d: str) -> D:
-    return failure_totals(spark, d, views.results_by_rank)
 
+def _small_bundles(spark: S, d: str) -> D:
+    """Bundles over the nation table with two Python solutions, the right one first, second, absent or none at all."""
+    n = _nations(spark, d)
+    one = lambda language, code: F.struct(F.lit(language).alias("language"), F.lit(code).alias("code"), F.lit(False).alias("verified"))
+    kind = F.col("k") % 4
+    sols = F.when(kind == 0, F.array(one("python3", GOOD), one("python3", BAD))).when(kind == 1, F.array(one("python3", BAD), one("python3", GOOD))).when(kind == 2, F.array(one("python3", BAD), one("cpp17", "int main(){}"))).otherwise(F.array(one("cpp17", "int main(){}")))
+    problem = F.struct(F.col("problem_id").alias("id"), F.lit("Sum").alias("title"), F.lit(2.0).alias("time_limit_sec"))
+    return n.select(F.col("k").alias("file_ord"), problem.alias("problem"), F.struct("repair_tests", "eval_tests").alias("tests"), F.struct(sols.alias("solutions"), F.lit("").alias("reference_solution")).alias("oracle"))
 
-def diagnostic_categories_by_rank(spark: S, d: str) -> D:
-    return diagnostic_categories(spark, d, views.results_by_rank)
 
+def verify_python_oracles(spark: S, d: str) -> D:
+    from evalframe.operators import oracles
 
-def topk_examples_by_rank(spark: S, d: str) -> D:
-    return topk_examples(spark, d, views.results_by_rank)
+    v = oracles.verify_python(_small_bundles(spark, d), memory_mb=1024)
+    return v.select(F.col("problem.id").alias("problem_id"), "outcome", F.array_join(F.transform("oracle.solutions", lambda s: s["verified"].cast("string")), ",").alias("marks"))
 
 
-def agent_failure_reason_by_rank(spark: S, d: str) -> D:
-    return agent_failure_reason(spark, d, views.results_by_rank)
+def translate_oracles(spark: S, d: str) -> D:
+    """Verified solutions through a stand-in translator; its programs run as Python, as no compiler may be at hand."""
+    from evalframe.operators import oracles
 
+    v = oracles.verify_python(_small_bundles(spark, d), memory_mb=1024)
+    answer = lambda asked: asked.select("problem_id", "candidate", F.concat(F.lit("```cpp\n"), F.when(F.col("candidate") == 0, BAD).otherwise(GOOD), F.lit("\n```")).alias("response"))
+    t = oracles.translate(v, v.select(F.col("problem.id").alias("problem_id"), F.lit("p").alias("prompt")), answer, language="python3")
+    kept = oracles.keep_verified(t, limit=5)
+    return t.join(kept.select(F.col("problem.id").alias("kept")), F.col("problem.id") == F.col("kept"), "left").select(
+        F.col("problem.id").alias("problem_id"), "outcome", F.size("oracle.solutions").alias("solutions"), F.col("oracle.reference_solution").alias("reference"), F.col("kept").isNotNull().alias("kept"))
 
-def held_out_summaries_by_rank(spark: S, d: str) -> D:
-    return held_out_summaries(spark, d, views.results_by_rank)
 
+def resume_stream(spark: S, d: str) -> D:
+    from evalframe.streaming.resume import stream_counts
 
-def resume_merge_by_rank(spark: S, d: str) -> D:
-    return resume_merge(spark, d, views.results_by_rank)
+    return stream_counts(spark, f"{d}/events.parquet")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evalframe.plans import oracle, queries as q
 
-_HELPERS = {"raw_rows", "specification_rows"}
+_HELPERS = {"specification_rows"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalframe.operators.limits import rank_within
 from evalframe.operators.training import gold_answer, prompt, solution_picks
 from evalframe.session import table
 
-#: events a block: no run has more attempts than that
-BLOCK = 256
-
-#: attempts of a run by rank
+#: attempts of a run
 PER_RUN = 4
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
-    """One row an event, read as an attempt of a run: a user's events in one block of event ids."""
-    e = table(spark, d, "events").withColumn("block", F.floor(F.col("event_id") / BLOCK))
-    rn = F.row_number().over(Window.partitionBy("user_id", "block").orderBy("ts", "event_id"))
-    run = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("block").cast("string"))
-    return e.select(run.alias("problem_id"), rn.alias("attempt"), "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
-
-
-def attempts_by_rank(spark: SparkSession, d: str) -> DataFrame:
     """One row an event, read as an attempt of a run: four consecutive events of a user, at any size of the input."""
     e = rank_within(table(spark, d, "events"), "user_id", F.to_date("ts"), ["ts", "event_id"])
     run = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("rank") / PER_RUN).cast("string"))
@@ -44,9 +33,9 @@ def _runs(k, etype, value, suite: str, n):
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: one(i))).otherwise(F.slice(empty, 1, 0))
 
 
-def results(spark: SparkSession, d: str, of=attempts) -> DataFrame:
+def results(spark: SparkSession, d: str) -> DataFrame:
     """Nested report rows (RESULT schema, without the unused fields), one a run."""
-    a = of(spark, d)
+    a = attempts(spark, d)
     k, etype, value = F.col("k"), F.col("event_type"), F.col("value")
     verdict = F.struct(F.when(value > 150, "FAIL").when(value < 3, "UNKNOWN").otherwise("PASS").alias("time_status"), F.when(k == 7, "FAIL").when(value < 1, "UNKNOWN").otherwise("PASS").alias("memory_status"))
     candidate = F.struct((etype != "error").alias("compiled"), F.when(etype == "error", "error: bad token").alias("compile_error"), _runs(k, etype, value, "repair", k % 4).alias("tests"))
@@ -71,11 +60,6 @@ def results(spark: SparkSession, d: str, of=attempts) -> DataFrame:
     )
 
 
-def results_by_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Nested report rows, one for each four consecutive events of a user."""
-    return results(spark, d, attempts_by_rank)
-
-
 def last_by_problem(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
     """One row a problem id: the one with the greatest order."""
     return df.where(F.col("problem_id").isNotNull()).groupBy("problem_id").agg(F.max_by(F.struct(*cols), order).alias("x")).select("problem_id", "x.*")

@@ -14,9 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for ``checkpoint()``: the cluster's ``spark.checkpoint.dir`` if named, else one of our own.
+    """The folder for ``checkpoint()``: the cluster's ``spark.checkpoint.dir`` if named.
 
-    Only an unset setting (local tests) leads to a temporary folder of this machine.
+    Only a local session (tests) may leave it unset and gets a temporary folder of this machine; on a
+    cluster such a folder would be lost with its machine, so there an unset setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -24,6 +25,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = os.path.join(tempfile.gettempdir(), "evalframe-checkpoints")
     sc.setCheckpointDir(named)
     return named
@@ -35,6 +38,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Delete this application's checkpoints and stream tables; results that still rest on them are lost.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints=true`` lets Spark delete a checkpoint as soon as no
+    DataFrame refers to it.
+    """
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            fs.delete(status.getPath(), True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for an expensive per-row stage that follows a scan of few splits.
 

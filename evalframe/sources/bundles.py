@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -44,9 +45,42 @@ def read_training(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """A local export of a raw dataset (Parquet or JSON Lines), with row_index in file order."""
-    df = spark.read.parquet(path) if path.endswith(".parquet") or os.path.isdir(path) and not any(n.endswith((".json", ".jsonl")) for n in os.listdir(path)) else spark.read.json(path)
-    return df.withColumn("row_index", F.monotonically_increasing_id())
+    """A local export of a raw dataset (Parquet or JSON Lines), with row_index counted in file order.
+
+    The index depends on the files alone, not on how they are packed into tasks: a row's place in its file (in
+    its split, for JSON Lines) plus the rows of all files and splits before it. Only one count a split is
+    put in order.
+    """
+    parquet = path.endswith(".parquet") or os.path.isdir(path) and not any(n.endswith((".json", ".jsonl")) for n in os.listdir(path))
+    df = spark.read.parquet(path) if parquet else spark.read.json(path)
+    if parquet:
+        placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.lit(0).cast("long"), "_at": F.col("_metadata.row_index")})
+    else:
+        within = Window.partitionBy("_file", "_start").orderBy("_seen")
+        placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_seen": F.monotonically_increasing_id()})
+        placed = placed.withColumn("_at", (F.row_number().over(within) - 1).cast("long")).drop("_seen")
+    where = [F.col("_metadata.file_path").alias("_file"), (F.lit(0).cast("long") if parquet else F.col("_metadata.file_block_start")).alias("_start")]
+    sizes = df.select(*where).groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_file", "_start", (F.sum("_n").over(Window.orderBy("_file", "_start")) - F.col("_n")).alias("_before"))
+    return placed.join(before, ["_file", "_start"]).withColumn("row_index", F.col("_before") + F.col("_at")).drop("_file", "_start", "_at", "_before")
+
+
+def copy_files(df: DataFrame, source: str, target: str) -> None:
+    """Byte copies of the files named in ``file_name``, made by the executors between shared folders."""
+    def put(rows) -> None:
+        os.makedirs(target, exist_ok=True)
+        for r in rows:
+            shutil.copy2(os.path.join(source, r.file_name), os.path.join(target, r.file_name))
+    df.select("file_name").foreachPartition(put)
+
+
+def copy_manifests(source: str, target: str) -> int:
+    """The ``_*.json`` files of a folder of bundles, copied as they are; how many there were."""
+    names = sorted(n for n in os.listdir(source) if n.startswith("_") and n.endswith(".json"))
+    os.makedirs(target, exist_ok=True)
+    for n in names:
+        shutil.copy2(os.path.join(source, n), os.path.join(target, n))
+    return len(names)
 
 
 def bundle_json(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def test_specifications_keep_all_tests_and_codes(spark, tables):
     assert (got[2].repair, got[2].eval, got[2].codes) == (1, 1, 1)
     row = queries.specification_rows(spark, tables).where("row_index = 2").first()
     assert json.loads(row.input_output)["inputs"] == [str(i) for i in range(40)]
-    assert {r.outcome: r.n for r in queries.convert_specifications(spark, tables).collect()} == {"written": 2, "bad_tests": 3, "no_solution": 1}
+    assert {r.outcome: r.n for r in queries.convert_manifest(spark, tables).collect()} == {"written": 2, "bad_tests": 3, "no_solution": 1}
 
 
 def test_code_that_is_json_text_is_a_code(spark):
@@ -42,9 +42,9 @@ def test_attempts_of_a_run_do_not_depend_on_event_ids(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id long, user_id long, t string, event_type string, value double, props string").withColumn("ts", F.to_timestamp("t")).drop("t")
     events.write.parquet(f"{tmp_path}/events.parquet")
     order = [r.event_id for r in events.orderBy("ts", "event_id").collect()]
-    got = {(r.problem_id, r.attempt): r.event_id for r in views.attempts_by_rank(spark, str(tmp_path)).collect()}
+    got = {(r.problem_id, r.attempt): r.event_id for r in views.attempts(spark, str(tmp_path)).collect()}
     assert got == {(f"u5-{i // 4}", i % 4 + 1): x for i, x in enumerate(order)}
-    assert sorted(r.turns for r in queries.per_problem_rates_by_rank(spark, str(tmp_path)).collect()) == [1, 3, 3]
+    assert sorted(r.turns for r in queries.per_problem_rates(spark, str(tmp_path)).collect()) == [1, 3, 3]
 
 
 def test_offset_skips_by_index(spark):
