@@ -14,9 +14,9 @@ from evalframe.session import spread
 #: Placeholders that stand for no content.
 PLACEHOLDERS = {"", "na", "null", "none", "nil", "nan", "todo", "tbd", "tba", "empty", "undefined", "placeholder", "unknown", "noanswer", "待补充", "无", "暂无", "略"}
 
-#: Refusals: somebody declines to write, solve, answer or help. One pattern per language.
+#: Refusals: somebody declines to write, solve, answer or help. One pattern per language, fixed values.
 REFUSALS = [
-    r"\bi(?:'|’)?m sorry\b|\bi am sorry\b|\bi (?:can(?:'|’)?t|cannot|can not|won(?:'|’)?t|will not|am unable to|am not able to|must decline|have to decline|do not|don(?:'|’)?t) (?:help|assist|write|solve|answer|provide|produce|comply|code|do|give|offer)\b|\bmust decline\b|\bas an? (?:ai|assistant|language model)\b.*\b(?:not able|unable|cannot|can(?:'|’)?t)\b|\bi am not able to\b|\boutside what i do\b",
+    r"\bi(?:'|’)?m sorry\b|\bi am sorry\b|\bi (?:can(?:'|’)?t|cannot|can not|won(?:'|’)?t|will not|am unable to|am not able to|must decline|have to decline|do not|don(?:'|’)?t) (?:help|assist|write|solve|answer|provide|produce|comply|code|do|give|offer)\b|\bmust decline\b|\bas an? (?:ai|assistant|language model)\b.*\b(?:not able|unable|cannot|can(?:'|’)?t)\b|\bi am not able to\b|\boutside what i do\b|\bi (?:must |have to |will )?(?:refuse|decline) to\b",
     r"抱歉|对不起|很遗憾|(?:无法|不能|没办法|不会|拒绝|不便|不予)(?:解答|回答|提供|给出|编写|帮助|协助|完成这|处理这)|作为(?:一个)?(?:语言模型|人工智能|AI|助手)|超出了?我的能力|我不(?:编写|提供|能|会|回答)",
     r"\blo siento\b|\bdisculpa\b|\blamento\b|\bno puedo (?:resolver|ayudar|escribir|responder|dar|ofrecer)\b|\bcomo (?:asistente|modelo)\b",
     r"\bes tut mir leid\b|\bentschuldigung\b|\bleider (?:kann|darf|muss)\b|\bich kann (?:dir |ihnen |das |diese |die |dabei |hier )*(?:nicht|leider|keine)\b|\bals (?:ki|assistent|sprachmodell)\b",
@@ -26,6 +26,10 @@ REFUSALS = [
     r"죄송|미안|유감|(?:도와|풀어|작성해|답변|제공).{0,8}(?:수 없|못|않)",
     r"क्षमा|माफ|खेद|(?:हल|मदद|सहायता).{0,12}नहीं कर सकत",
     r"آسف|أعتذر|عذر[اًا]|للأسف|لا (?:أستطيع|يمكنني)",
+    r"\bmi dispiace\b|\bnon posso (?:aiutare|risolvere|scrivere|rispondere|fornire)\b|\bcome (?:assistente|modello linguistico)\b",
+    r"\b(?:sinto muito|desculpe|lamento)\b|\bnão posso (?:ajudar|resolver|escrever|responder|fornecer)\b|\bcomo (?:assistente|modelo de linguagem)\b",
+    r"\bprzykro mi\b|\bprzepraszam\b|\bnie mogę (?:pomóc|rozwiązać|napisać|odpowiedzieć)\b|\bjako (?:asystent|model językowy)\b",
+    r"\büzgünüm\b|\bmaalesef\b|\b(?:yardımcı olamam|çözemem|yazamam|cevaplayamam)\b",
     r"ขออภัย|ขอโทษ|เสียใจ|ไม่สามารถ(?:ช่วย|ตอบ|แก้|เขียน|ให้)",
 ]
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS), re.I | re.S)
@@ -106,20 +110,22 @@ def other_language(a: Answer, han_share: float = 0.3) -> bool:
 
 
 def answer_defects(text: str | None, prompt: str | None) -> list[str]:
-    """Every triggered defect of an answer, in the order of the rules."""
+    """Every triggered defect of an answer, in the order of the rules; the rules are asked independently.
+
+    A refusal declines instead of solving, so an apology beside a program is none. Null and blank answers
+    have no content that the other rules could look at.
+    """
     if text is None or not text.strip():
         return ["empty"]
     a = parse_answer(text)
-    if nothing_but_headings(a):
-        return ["empty"]
-    found = []
+    found = ["empty"] if nothing_but_headings(a) else []
     if copies_prompt(a, text, prompt):
         found.append("copies_prompt")
     if (not a.code or not letters_digits(a.code)) and _REFUSAL.search((a.explanation or "") + "\n" + a.loose):
         found.append("refusal")
     if truncated(a):
         found.append("truncated")
-    elif other_language(a):
+    if other_language(a):
         found.append("other_language")
     return found
 
@@ -139,7 +145,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pair_defects(df: DataFrame, id_col: str = "pair_id", prompt_col: str = "prompt", chosen_col: str = "chosen", rejected_col: str = "rejected") -> DataFrame:
     """pair_id, field, defect, rule_order: every defect that a field triggers; rule_order 1 is the first that applies.
 
-    A null or blank prompt is ``empty`` and has no other defect; a null answer is ``empty``. Empty
+    The rules are independent of each other: ``rule_order`` only ranks what they found. A null or blank prompt is ``empty`` and has no other defect; a null answer is ``empty``. Empty
     tables give no rows, repeated rows one result each.
     """
     cols = [F.col(id_col).cast("long").alias("pair_id"), *[F.col(c).cast("string") for c in (prompt_col, chosen_col, rejected_col)]]
