@@ -1,10 +1,11 @@
 """Problem 8: evaluation passages inside corpus documents, by suffix arrays of the corpus shards.
 
 A shard is a run of documents of one partition. Its texts become sequences of unit numbers, its suffixes
-are sorted, and every suffix of every evaluation item is looked up by binary search; the common prefix
-with what is found there is the longest verbatim match. A unit that no item holds cannot be part of a
-match, so suffixes that meet one before the least length are left out of the array; this loses nothing
-and leaves few. The items are a fixed table; only they are sent to the workers.
+are sorted by their first units, as many as the least length (an array of bounded order: that is as far as a
+search must tell suffixes apart), and every suffix of every evaluation item is looked up by binary search.
+What is found is extended, all hits at once, to the longest verbatim match. A unit that no item holds cannot
+be part of a match, so suffixes that meet one before the least length are left out of the array; this loses
+nothing and leaves few. The items are sent to the workers in groups of bounded size, one group a pass.
 
 For ``en`` items a unit is a longest run of letters and digits; for ``zh`` items it is one Chinese
 character or a longest run of other letters and digits; both lower-cased.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ class ItemIndex:
         self.owner = np.array([i for i, _, _ in starts], dtype=np.int64)
         self.offset = np.array([j for _, _, j in starts], dtype=np.int32)
         self.queries = np.array([s[j : j + least] for _, s, j in starts], dtype=">u4").reshape(-1, least) if starts else np.empty((0, least), dtype=">u4")
-        self.of = {i: s for i, s in self.items}
+        at = np.cumsum([0, *[len(s) + 1 for _, s in self.items]])
+        self.units = np.concatenate([np.append(s, 0) for _, s in self.items]) if self.items else np.zeros(0, dtype=np.int32)
+        self.begins = np.array([at[n] for n, (_, s) in enumerate(self.items) for _ in range(len(s) - least + 1)], dtype=np.int64)
 
 
 _HAN = re.compile(r"[一-鿿]")
@@ -75,30 +79,44 @@ def shard_matches(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, in
     wanted = _as_keys(index.queries)
     low, high = np.searchsorted(sorted_keys, wanted, "left"), np.searchsorted(sorted_keys, wanted, "right")
     first = np.array(starts, dtype=np.int64)
-    out = []
-    for q in np.flatnonzero(high > low):
-        item, off = int(index.owner[q]), int(index.offset[q])
-        units = index.of[item]
-        for pos in array[low[q] : high[q]]:
-            if off and pos and seq[pos - 1] == units[off - 1]:
-                continue  # part of a match that begins earlier
-            length = least
-            while off + length < len(units) and seq[pos + length] == units[off + length]:
-                length += 1
-            t = int(np.searchsorted(first, pos, "right")) - 1
-            out.append((t, item, int(pos - first[t]), off, length))
-    return out
+    queries = np.flatnonzero(high > low)
+    count = high[queries] - low[queries]
+    q = np.repeat(queries, count)
+    pos = array[np.arange(len(q)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[queries], count)]
+    unit = index.begins[q] + index.offset[q]  # where the suffix stands among the units of all items
+    inner = (index.offset[q] > 0) & (pos > 0)
+    inner[inner] = seq[pos[inner] - 1] == index.units[unit[inner] - 1]
+    q, pos, unit = q[~inner], pos[~inner], unit[~inner]  # the others are parts of matches that begin earlier
+    length = np.full(len(q), least, dtype=np.int64)
+    going = np.arange(len(q))
+    seq = np.concatenate([seq, [0]])
+    while len(going):
+        here = index.units[unit[going] + length[going]]  # 0 after the last unit of an item
+        going = going[(here != 0) & (seq[np.minimum(pos[going] + length[going], len(seq) - 1)] == here)]
+        length[going] += 1
+    t = np.searchsorted(first, pos, "right") - 1
+    return list(zip(t.tolist(), index.owner[q].tolist(), (pos - first[t]).tolist(), index.offset[q].tolist(), length.tolist()))
 
 
 def leaked_passages(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", lang_col: str = "lang", item_text_col: str = "text", shard_chars: int = 4_000_000
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", lang_col: str = "lang", item_text_col: str = "text", shard_chars: int = 4_000_000, group_chars: int = 50_000_000
 ) -> DataFrame:
     """(doc_id, item_id, lang, doc_unit, item_unit, units): every maximal verbatim match of at least the least length.
 
-    ``items`` is a fixed evaluation set and is held by every worker. Items shorter than the least
-    length, null texts and languages without a unit definition give nothing.
+    Items shorter than the least length, null texts and languages without a unit definition give nothing.
+    The size of the items is asked first: they are cut into groups of about ``group_chars`` characters by a
+    hash of their id, each group is broadcast to a pass over the documents, and the passes are united.
     """
-    rows = items.select(F.col(item_col).cast("long"), F.lower(F.col(lang_col)), F.col(item_text_col)).where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).collect()
+    known = items.select(F.col(item_col).cast("long").alias("item"), F.lower(F.col(lang_col)).alias("lang"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and item is not null")
+    known = known.where(F.col("lang").isin(*UNITS))
+    groups = -(-(known.agg(F.sum(F.length("text"))).first()[0] or 1) // group_chars)
+    found = [_group_passages(docs, known.where(F.pmod(F.xxhash64("item"), F.lit(groups)) == g), id_col, text_col, shard_chars) for g in range(groups)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _group_passages(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, shard_chars: int) -> DataFrame:
+    """The passages of one bounded group of items (item, lang, text)."""
+    rows = items.collect()
     indexes = [(lang, ItemIndex([(i, t) for i, l, t in rows if l == lang], *UNITS[lang])) for lang in UNITS]
     shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
