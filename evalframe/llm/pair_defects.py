@@ -112,20 +112,23 @@ def other_language(a: Answer, han_share: float = 0.3) -> bool:
 def answer_defects(text: str | None, prompt: str | None) -> list[str]:
     """Every triggered defect of an answer, in the order of the rules; the rules are asked independently.
 
-    A refusal declines instead of solving, so an apology beside a program is none. Null and blank answers
-    have no content that the other rules could look at.
+    By their definitions some exclude each other: an empty answer has no content that another rule could look
+    at, ``other_language`` is said of complete answers only, and a refusal declines instead of solving, so an
+    apology beside a program is none.
     """
     if text is None or not text.strip():
         return ["empty"]
     a = parse_answer(text)
-    found = ["empty"] if nothing_but_headings(a) else []
+    if nothing_but_headings(a):
+        return ["empty"]
+    found = []
     if copies_prompt(a, text, prompt):
         found.append("copies_prompt")
     if (not a.code or not letters_digits(a.code)) and _REFUSAL.search((a.explanation or "") + "\n" + a.loose):
         found.append("refusal")
     if truncated(a):
         found.append("truncated")
-    if other_language(a):
+    elif other_language(a):
         found.append("other_language")
     return found
 
