@@ -35,6 +35,7 @@ param = attr? spec ptr* '...'? pname? ( '=' initval )?
 pname = NAME ( '[' expr? ']' )* | '(' ptr* NAME? ')' ( '[' expr? ']' | '(' params? ')' )+ | '[' expr? ']' | NAME '(' params? ')' | '(' params? ')'
 declarator = ptr* direct
 direct = ( qname | 'operator' oper | '(' ptr+ direct? ')' | '(' direct ')' ) ( '[' expr? ']' | '(' params? ')' quals )* attr?
+fdeclarator = ptr* ( qname | 'operator' oper | '(' ptr+ direct? ')' | '(' direct ')' ) ( '[' expr? ']' )* '(' params? ')' quals ( '[' expr? ']' | '(' params? ')' quals )* attr?
 quals = ( 'const' | 'volatile' | '&' | '&&' | 'noexcept' ( '(' expr ')' )? | 'override' | 'final' | 'throw' '(' ')' )* ( '->' type )?
 oper = '+' | '-' | '*' | '/' | '%' | '^' | '&' | '|' | '~' | '!' | '=' | '<' | '>' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<' | '>' '>' | '<<=' | '>' '>=' | '==' | '!=' | '<=' | '>=' | '<=>' | '&&' | '||' | '++' | '--' | ',' | '->*' | '->' | '(' ')' | '[' ']' | 'new' | 'delete' | 'new' '[' ']' | 'delete' '[' ']' | STRING NAME | type
 initval = assign | braced
@@ -50,7 +51,7 @@ enumdef = 'enum' ( 'class' | 'struct' )? qname? ( ':' type )? '{' ( enumerator (
 enumerator = NAME ( '=' assign )?
 member = ( 'public' | 'private' | 'protected' ) ':' | ';' | using | typedef | decl | function | 'template' '<' tparams? '>' member | 'static_assert' '(' args ')' ';' | cv* '~' NAME '(' ')' quals ( block | ';' | '=' ( 'default' | 'delete' | NUMBER ) ';' )
   | cv* NAME '(' params? ')' quals ctorinit? ( block | ';' | '=' ( 'default' | 'delete' ) ';' ) | cv* 'operator' oper '(' params? ')' quals ( block | ';' ) | 'friend' decl | 'friend' function
-function = spec? declarator ctorinit? ( block | tryblock | '=' ( 'default' | 'delete' | NUMBER ) ';' ) | cv+ declarator ctorinit? block
+function = spec? fdeclarator ctorinit? ( block | tryblock | '=' ( 'default' | 'delete' | NUMBER ) ';' ) | cv+ fdeclarator ctorinit? block
   | spec? qname '(' params? ')' quals ctorinit? block
 ctorinit = ':' meminit ( ',' meminit )*
 meminit = qname ( '(' args? ')' | braced ) '...'?
@@ -108,11 +109,12 @@ vars = var ( ',' var )*
 var = NAME dims ( '=' ( expr | arrayinit ) )?
 arrayinit = '{' ( ( expr | arrayinit ) ( ',' ( expr | arrayinit ) )* ','? )? '}'
 block = '{' stmt* '}'
-localvar = mods type vars
-stmt = ';' | block | localvar ';' | typedecl | expr ';' | 'if' '(' expr ')' stmt ( 'else' stmt )? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
-  | 'for' '(' ( localvar | expr ( ',' expr )* )? ';' expr? ';' ( expr ( ',' expr )* )? ')' stmt | 'for' '(' mods type NAME ':' expr ')' stmt
+localvar = ( annot | 'final' )* type vars
+stmt = ';' | block | localvar ';' | typedecl | doing ';' | 'if' '(' expr ')' stmt ( 'else' stmt )? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'
+  | 'for' '(' ( localvar | doing ( ',' doing )* )? ';' expr? ';' ( doing ( ',' doing )* )? ')' stmt | 'for' '(' ( annot | 'final' )* type NAME ':' expr ')' stmt
   | 'return' expr? ';' | 'break' NAME? ';' | 'continue' NAME? ';' | 'throw' expr ';' | 'yield' expr ';' | NAME ':' stmt | 'assert' expr ( ':' expr )? ';' | 'synchronized' '(' expr ')' block
   | 'switch' '(' expr ')' switchbody | 'try' resources block ( 'catch' '(' mods type ( '|' type )* NAME ')' block )* ( 'finally' block )? | 'try' block ( ( 'catch' '(' mods type ( '|' type )* NAME ')' block )+ ( 'finally' block )? | 'finally' block )
+doing = primary post* ( '(' args? ')' | '++' | '--' | assignop expr ) | ( '++' | '--' ) unary | newexpr
 resources = '(' resource ( ';' resource )* ';'? ')'
 resource = mods type NAME '=' expr | expr
 switchbody = '{' ( ( 'case' label ( ',' label )* | 'default' ) ( ':' stmt* | '->' ( expr ';' | block | 'throw' expr ';' ) ) )* '}'
@@ -136,27 +138,35 @@ PYTHON = r"""
 unit = ( NEWLINE | stmt )*
 stmt = simple | compound
 simple = small ( ';' small )* ';'? NEWLINE
-small = exprstmt | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' ( test ( 'from' test )? )? | 'del' stars | 'global' NAME ( ',' NAME )* | 'nonlocal' NAME ( ',' NAME )* | 'assert' test ( ',' test )? | importing | 'type' NAME tparams? '=' test
+small = exprstmt | 'pass' | 'break' | 'continue' | 'return' stars? | 'raise' ( test ( 'from' test )? )? | 'del' dlist | 'global' NAME ( ',' NAME )* | 'nonlocal' NAME ( ',' NAME )* | 'assert' test ( ',' test )? | importing | 'type' NAME tparams? '=' test
 importing = 'import' dotted ( 'as' NAME )? ( ',' dotted ( 'as' NAME )? )* | 'from' ( ( '.' | '...' )* dotted | ( '.' | '...' )+ ) 'import' ( '*' | '(' imports ','? ')' | imports )
 imports = NAME ( 'as' NAME )? ( ',' NAME ( 'as' NAME )? )*
 dotted = NAME ( '.' NAME )*
-exprstmt = stars ( ':' test ( '=' ( stars | yielding ) )? | augop ( stars | yielding ) | ( '=' ( stars | yielding ) )* ) | yielding
+exprstmt = stars | yielding | single ( ':' test ( '=' ( stars | yielding ) )? | augop ( stars | yielding ) ) | ( tlist '=' )+ ( stars | yielding )
+place = atom trailer* ( '.' NAME | '[' subs ']' )
+single = NAME | '(' single ')' | place
+tlist = tstar ( ',' tstar )* ','?
+tstar = '*'? tgt
+tgt = NAME | '(' tlist? ')' | '[' tlist? ']' | place
+dlist = dtgt ( ',' dtgt )* ','?
+dtgt = NAME | '(' dlist? ')' | '[' dlist? ']' | place
 augop = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
 yielding = 'yield' ( 'from' test | stars? )
 stars = star ( ',' star )* ','?
 star = '*' bitor | test
-compound = 'if' named ':' suite ( 'elif' named ':' suite )* ( 'else' ':' suite )? | 'while' named ':' suite ( 'else' ':' suite )? | 'async'? 'for' targets 'in' stars ':' suite ( 'else' ':' suite )?
-  | 'try' ':' suite ( ( 'except' '*'? ( test ( 'as' NAME )? | test ( ',' test )+ )? ':' suite )+ ( 'else' ':' suite )? ( 'finally' ':' suite )? | 'finally' ':' suite )
+compound = 'if' named ':' suite ( 'elif' named ':' suite )* ( 'else' ':' suite )? | 'while' named ':' suite ( 'else' ':' suite )? | 'async'? 'for' tlist 'in' stars ':' suite ( 'else' ':' suite )?
+  | 'try' ':' suite ( ( 'except' ( '*'? test ( 'as' NAME )? )? ':' suite )+ ( 'else' ':' suite )? ( 'finally' ':' suite )? | 'finally' ':' suite )
   | 'async'? 'with' ( withitem ( ',' withitem )* | '(' withitem ( ',' withitem )* ','? ')' ) ':' suite | ( '@' named NEWLINE )* ( 'async'? 'def' NAME tparams? '(' params? ')' ( '->' test )? ':' suite | 'class' NAME tparams? ( '(' args? ')' )? ':' suite )
   | 'match' stars ':' NEWLINE INDENT ( 'case' patterns ( 'if' named )? ':' suite )+ DEDENT
 tparams = '[' tparam ( ',' tparam )* ','? ']'
 tparam = ( '*' | '**' )? NAME ( ':' test )? ( '=' test )?
-withitem = test ( 'as' target )?
-targets = target ( ',' target )* ','?
-target = '*'? bitor
+withitem = test ( 'as' tgt )?
 suite = simple | NEWLINE INDENT stmt+ DEDENT
-params = param ( ',' param )* ','?
-param = NAME ( ':' star )? ( '=' test )? | '*' ( NAME ( ':' star )? )? | '**' NAME ( ':' test )? | '/'
+params = ( ppos ( ',' pkw )? | pkw ) ','?
+ppos = p ( ',' p )* ( ',' '/' ( ',' p )* )? ( ',' pd )* | p ( ',' p )* ( ',' pd )+ ',' '/' ( ',' pd )* | pd ( ',' pd )* ( ',' '/' ( ',' pd )* )?
+p = NAME ( ':' test )?
+pd = NAME ( ':' test )? '=' test
+pkw = '*' NAME ( ':' star )? ( ',' ( p | pd ) )* ( ',' '**' p )? | '*' ( ',' ( p | pd ) )+ ( ',' '**' p )? | '**' p
 patterns = pattern ( ',' pattern )* ','?
 pattern = '*' NAME | orpat ( 'as' NAME )?
 orpat = closed ( '|' closed )*
@@ -165,8 +175,10 @@ patarg = ( NAME '=' )? pattern
 mappat = ( '-'? NUMBER | STRING+ | dotted | 'None' | 'True' | 'False' ) ':' pattern | '**' NAME
 named = ( NAME ':=' )? test
 test = ortest ( 'if' ortest 'else' test )? | 'lambda' lparams? ':' test
-lparams = lparam ( ',' lparam )* ','?
-lparam = NAME ( '=' test )? | '*' NAME? | '**' NAME | '/'
+lparams = ( lpos ( ',' lkw )? | lkw ) ','?
+lpos = NAME ( ',' NAME )* ( ',' '/' ( ',' NAME )* )? ( ',' ld )* | NAME ( ',' NAME )* ( ',' ld )+ ',' '/' ( ',' ld )* | ld ( ',' ld )* ( ',' '/' ( ',' ld )* )?
+ld = NAME '=' test
+lkw = '*' NAME ( ',' ( NAME | ld ) )* ( ',' '**' NAME )? | '*' ( ',' ( NAME | ld ) )+ ( ',' '**' NAME )? | '**' NAME
 ortest = nottest ( ( 'or' | 'and' ) nottest )*
 nottest = 'not'* bitor ( compop bitor )*
 compop = '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' 'not'?
@@ -176,9 +188,12 @@ factor = ( '+' | '-' | '~' | 'await' )* atom trailer*
 trailer = '(' args? ')' | '[' subs ']' | '.' NAME
 subs = sub ( ',' sub )* ','?
 sub = named | '*' bitor | test? ':' test? ( ':' test? )?
-args = arg ( ',' arg )* ','?
-arg = ( NAME ':=' )? test comp* | NAME '=' test | '*' test | '**' test
-comp = 'async'? 'for' targets 'in' ortest ( 'if' condtest )*
+args = named comp+ | ( parg ( ',' parg )* ( ',' kwargs )? | kwargs ) ','?
+parg = named | '*' test
+kwargs = ks ( ',' ks )* ( ',' kd )* | kd ( ',' kd )*
+ks = NAME '=' test | '*' test
+kd = NAME '=' test | '**' test
+comp = 'async'? 'for' tlist 'in' ortest ( 'if' condtest )*
 condtest = ( NAME ':=' )? ortest | 'lambda' lparams? ':' condtest
 atom = NAME | NUMBER | STRING+ | 'None' | 'True' | 'False' | '...' | '(' ( yielding | group )? ')' | '[' group? ']' | '{' ( dictpart ( ',' dictpart )* ','? | test ':' test comp+ | group )? '}'
 group = element comp* | element ( ',' element )+ ','? | element ','
@@ -195,7 +210,7 @@ _CPP_TOKEN = re.compile(
 )
 _DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(?:(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|warning|line)\b(?:\\\r?\n|/\*.*?\*/|[^\n])*|(?=\r?\n|\Z))", re.S)
 _JAVA_TOKEN = re.compile(
-    r"""(?P<skip>\s+|//[^\n\r]*|/\*.*?\*/)|(?P<STRING>\"{3}[ \t\f]*\r?\n(?:[^\\]|\\.)*?\"{3}|"(?:[^"\\\r\n]|\\.)*")|(?P<CHAR>'(?:[^'\\\r\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)')"""
+    r"""(?P<skip>\s+|//[^\n\r]*|/\*.*?\*/)|(?P<STRING>\"{3}[ \t\f]*\r?\n(?:[^\\]|\\.)*?\"{3}|"(?:[^"\\\r\n]|\\(?:[btnfrs"'\\0-7]|u+[0-9a-fA-F]{4}))*")|(?P<CHAR>'(?:[^'\\\r\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\[btnfrs"'\\])')"""
     r"""|(?P<NUMBER>(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+\-]?\d+)?|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+\-]?\d+)?)[lLfFdD]?(?!\w))|(?P<NAME>[^\W\d][\w$]*|\$[\w$]*)"""
     r"""|(?P<op>\.\.\.|<<=|>=|<=|<<|->|::|\+\+|--|&&|\|\||==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%<>=!&|^~?:;,.(){}\[\]@])""",
     re.S,
@@ -207,6 +222,9 @@ _PY_TOKEN = re.compile(
     r"""|(?P<op>\.\.\.|\*\*=|//=|>>=|<<=|\*\*|//|>>|<<|<=|>=|==|!=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[-+*/%@<>=&|^~:;,.(){}\[\]])""",
     re.S,
 )
+#: escapes that no string may hold, in text and in bytes
+_PY_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![\da-fA-F]{2})|u(?![\da-fA-F]{4})|U(?!(?:000[\da-fA-F]|0010)[\da-fA-F]{4})|N(?!\{[^}]+\}))")
+_PY_BAD_BYTES = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![\da-fA-F]{2})")
 _PY_NUMBER_THEN = re.compile(r"(?:and|else|for|if|in|is|or|not)\b")
 #: words that only the grammar of some places treats as keywords
 _SOFT = {"match", "case", "type", "override", "final", "record", "sealed", "permits", "yield", "when"}
@@ -302,6 +320,14 @@ def _plain_lex(pattern: re.Pattern, directives: bool):
     return lex
 
 
+def _bad_string(token: str) -> bool:
+    """A literal whose escapes, or whose characters if it is of bytes, Python refuses. Fields of f-strings are not looked into."""
+    prefix = token[: min(token.find("'") % len(token), token.find('"') % len(token))].lower()
+    if "b" in prefix:
+        return not token.isascii() or "r" not in prefix and "\\x" in token and bool(_PY_BAD_BYTES.search(token))
+    return "\\" in token and "r" not in prefix and bool(_PY_BAD_ESCAPE.search(token))
+
+
 def _python_lex(code: str, lang: Language) -> list[tuple[int, int]]:
     """Python's tokens with NEWLINE, INDENT and DEDENT; mixed tabs and blanks that Python refuses are an error."""
     kinds, words, error = lang.kinds, lang.words, lang.error
@@ -361,6 +387,8 @@ def _python_lex(code: str, lang: Language) -> list[tuple[int, int]]:
                 return [*out, (error, at)]
             out.append((kinds["NUMBER"], at))
         elif group == "STRING":
+            if _bad_string(m[0]):
+                return [*out, (error, at)]
             out.append((kinds["STRING"], at))
         at = m.end()
     if out and out[-1][0] not in (newline, dedent):
@@ -369,8 +397,149 @@ def _python_lex(code: str, lang: Language) -> list[tuple[int, int]]:
     return out
 
 
+_DEFINE = re.compile(r"[ \t]*#[ \t]*define[ \t]+([^\W\d]\w*)(\(([^()]*)\))?(.*)", re.S)
+_SPLICE = re.compile(r"\\\r?\n")
+_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
+_WORD = re.compile(r"[ \t]*#[ \t]*(\w+)?(.*)", re.S)
+_INCLUDE = re.compile(r"\s*(?:<[^<>\n]+>|\"[^\"\n]+\"|[^\W\d]\w*.*)\s*\Z", re.S)
+#: what macros may unfold to in one file, in tokens
+UNFOLDED = 1 << 20
+
+
+def _holds(condition: str, macros: dict) -> bool:
+    """Whether a branch of #if is read: numbers, defined() and known macros decide, anything else holds."""
+    c = re.sub(r"defined\s*(?:\(\s*(\w+)\s*\)|(\w+))", lambda m: str(int((m[1] or m[2]) in macros)), condition).strip()
+    m = re.fullmatch(r"(!?)\s*(\d+)[uUlL]*", c)
+    if m:
+        return bool(int(m[2])) != bool(m[1])
+    return not (re.fullmatch(r"[^\W\d]\w*", c) and c not in macros)
+
+
+def _cpp_lex(code: str, lang: Language) -> list[tuple[int, int]]:
+    """Tokens after the directives: one branch of each conditional is read and macros are unfolded.
+
+    A conditional without its end, an #else or #endif without its #if, and an #include without a name are
+    errors. An unfolded token stands where its macro was called.
+    """
+    if "#" not in code:
+        return _PLAIN_CPP(code, lang)
+    kinds, error = lang.kinds, lang.error
+    raw, at, size, fresh = [], int(code.startswith("\ufeff")), len(code), True
+    macros: dict[str, tuple[list[str] | None, list[tuple[str, str, int]]]] = {}
+    levels: list[list[bool]] = []  # (is this branch read, has one been read, has #else been seen)
+    reading = True
+    while at < size:
+        if fresh and (d := _DIRECTIVE.match(code, at)) and "#" in d[0]:
+            word, rest = _WORD.match(_COMMENT.sub(" ", _SPLICE.sub(" ", d[0]))).groups()
+            if word in ("if", "ifdef", "ifndef"):
+                on = reading and (_holds(rest, macros) if word == "if" else (rest.strip() in macros) == (word == "ifdef"))
+                levels.append([on, on, False, reading])
+            elif word in ("elif", "else"):
+                if not levels or levels[-1][2]:
+                    raw.append(("error", "", at))
+                    break
+                top = levels[-1]
+                on = top[3] and not top[1] and (word == "else" or _holds(rest, macros))
+                top[0], top[1], top[2] = on, top[1] or on, word == "else"
+            elif word == "endif":
+                if not levels:
+                    raw.append(("error", "", at))
+                    break
+                reading = levels.pop()[3]
+            elif reading and word == "include" and not _INCLUDE.match(rest):
+                raw.append(("error", "", at))
+                break
+            elif reading and word == "define" and (m := _DEFINE.match(_COMMENT.sub(" ", _SPLICE.sub(" ", d[0])))):
+                names = [x.strip() for x in m[3].split(",")] if m[2] is not None else None
+                macros[m[1]] = (names if names != [""] else [], _cpp_tokens(m[4], at))
+            elif reading and word == "undef":
+                macros.pop(rest.strip(), None)
+            if word in ("if", "ifdef", "ifndef", "elif", "else"):
+                reading = levels[-1][0]
+            at, fresh = d.end(), False
+            continue
+        m = _CPP_TOKEN.match(code, at)
+        if m is None:
+            if reading:
+                raw.append(("error", "", at))
+                break
+            at += 1
+            continue
+        group = m.lastgroup
+        if group == "line":
+            fresh = True
+        elif group != "skip":
+            fresh = False
+            if reading:
+                raw.append((group, m[0], at))
+        at = m.end()
+    else:
+        if levels:
+            raw.append(("error", "", size))
+    out = []
+    for group, text, place in _unfolded(raw, macros):
+        if group == "NAME":
+            out.append((lang.words.get(text, kinds["NAME"]), place))
+        elif group == "op":
+            out.append((kinds.get(text, error), place))
+        else:
+            out.append((error if group == "error" else kinds["STRING" if group in ("STRING", "d") else group], place))
+    return out
+
+
+def _cpp_tokens(text: str, place: int) -> list[tuple[str, str, int]]:
+    out, at = [], 0
+    while at < len(text):
+        m = _CPP_TOKEN.match(text, at)
+        if m is None:  # # and ## of a macro's body
+            at += 1
+            continue
+        if m.lastgroup not in ("skip", "line"):
+            out.append((m.lastgroup, m[0], place))
+        at = m.end()
+    return out
+
+
+def _unfolded(tokens: list[tuple[str, str, int]], macros: dict) -> list[tuple[str, str, int]]:
+    """The tokens with all macros unfolded; a macro is not unfolded within itself."""
+    if not macros:
+        return tokens
+    out: list[tuple[str, str, int]] = []
+    stack = [(*t, frozenset()) for t in reversed(tokens)]
+    while stack and len(out) < UNFOLDED:
+        group, text, place, hidden = stack.pop()
+        known = macros.get(text) if group == "NAME" and text not in hidden else None
+        if known is None:
+            out.append((group, text, place))
+            continue
+        names, body = known
+        given: dict[str, list] = {}
+        if names is not None:
+            if not stack or stack[-1][1] != "(":
+                out.append((group, text, place))
+                continue
+            stack.pop()
+            depth, args = 1, [[]]
+            while stack and depth:
+                t = stack.pop()
+                depth += (t[1] in ("(", "[", "{")) - (t[1] in (")", "]", "}")) if t[0] == "op" else 0
+                if depth == 1 and t[1] == "," and t[0] == "op" and not (names and names[-1].endswith("...") and len(args) == len(names)):
+                    args.append([])
+                elif depth:
+                    args[-1].append(t)
+            given = dict(zip(((n.rstrip(".") or "__VA_ARGS__") if n.endswith("...") else n for n in names), args))
+        inner = hidden | {text}
+        for g, x, _ in reversed(body):
+            if g == "NAME" and x in given:
+                stack.extend(reversed(given[x]))
+            else:
+                stack.append((g, x, place, inner))
+    return out
+
+
+_PLAIN_CPP = _plain_lex(_CPP_TOKEN, True)
 _MAKERS = {
-    "cpp17": lambda: Language(CPP, _plain_lex(_CPP_TOKEN, True), {"override", "final"}),
+    "cpp17": lambda: Language(CPP, _cpp_lex, {"override", "final"}),
     "java": lambda: Language(JAVA, _plain_lex(_JAVA_TOKEN, False), {"record", "sealed", "permits", "yield", "when"}),
     "python3": lambda: Language(PYTHON, _python_lex, {"match", "case", "type"}),
 }

@@ -1,15 +1,15 @@
 """Problem 3: source files that do not parse in their stated language, by memoised derivatives.
 
 Each file's tokens run through the derivative table of its language (``derivatives``, ``grammars``): an
-empty derivative is the failing token, a state that cannot end is a truncation. For python3 the parser of
-Python 3.13 decides: it clears files that are flagged, and finds those that the wider grammar lets pass.
+empty derivative is the failing token, a state that cannot end is a truncation. Every python3 file is also
+put to Python's own parser, which decides where the two differ (the fields of f-strings, for one, are not in
+the grammar); the workers should run Python 3.13, whose grammar is the stated one.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-import sys
 import warnings
 from collections.abc import Iterator
 
@@ -49,7 +49,7 @@ def parse_failure(code: str | None, lang: str | None) -> tuple[int, bool] | None
     if lang not in LANGUAGES or code is None or not code.strip():
         return None
     found = language(lang).failure(code)
-    if lang == "python3" and sys.version_info[:2] == (3, 13):
+    if lang == "python3":
         refused = _python_refuses(code)
         if found:
             return found if refused else None
