@@ -119,24 +119,28 @@ def near_duplicate_links(
     return checkpointed(members), checkpointed(checked(pairs, base, k, threshold, min_words))
 
 
-def expanded(links: DataFrame, members: DataFrame, block: int = 1024) -> DataFrame:
-    """(x, y): every pair of members of linked classes, and of members of one class.
+def in_blocks(links: DataFrame, members: DataFrame, block: int = 1024) -> DataFrame:
+    """(x, y): every pair of a member of class a and one of class b, for links (a, b); ``members``: id, c (its class).
 
     The members of a class are cut into blocks of about ``block`` by a hash of the id, and each pair of
     blocks is joined by itself, so a class that holds a third of all rows is no single join key.
     """
-    sizes = members.groupBy("rep", "mark").agg(F.count(F.lit(1)).alias("c")).select("rep", "mark", "c", F.ceil(F.col("c") / block).cast("int").alias("nb"))
-    side = lambda p, rep, mark: sizes.select(F.col("rep").alias(rep), F.col("mark").alias(mark), F.col("nb").alias(p))
-    across = links.select("a", "ga", "b", "gb").join(side("na", "a", "ga"), ["a", "ga"]).join(side("nb", "b", "gb"), ["b", "gb"])
-    own = sizes.where("c > 1").select(F.col("rep").alias("a"), F.col("mark").alias("ga"), F.col("rep").alias("b"), F.col("mark").alias("gb"), F.col("nb").alias("na"), "nb")
-    cells = across.select("a", "ga", "b", "gb", "na", "nb").unionByName(own)
+    sizes = members.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    side = lambda p, c: sizes.select(F.col("c").alias(c), F.col("nb").alias(p))
+    cells = links.select("a", "b").join(side("na", "a"), "a").join(side("nb", "b"), "b")
     cells = cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = members.join(sizes.select("rep", "mark", "nb"), ["rep", "mark"]).withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    left = placed.select(F.col("rep").alias("a"), F.col("mark").alias("ga"), F.col("k").alias("i"), F.col("id").alias("x"))
-    right = placed.select(F.col("rep").alias("b"), F.col("mark").alias("gb"), F.col("k").alias("j"), F.col("id").alias("y"))
-    same = (F.col("a") == F.col("b")) & (F.col("ga") == F.col("gb"))
-    met = cells.join(left, ["a", "ga", "i"]).join(right, ["b", "gb", "j"])
-    return met.where(~same | (F.col("x") < F.col("y"))).select("x", "y")
+    placed = members.join(sizes, "c").withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    left = placed.select(F.col("c").alias("a"), F.col("k").alias("i"), F.col("id").alias("x"))
+    right = placed.select(F.col("c").alias("b"), F.col("k").alias("j"), F.col("id").alias("y"))
+    return cells.join(left, ["a", "i"]).join(right, ["b", "j"]).select("a", "b", "x", "y")
+
+
+def expanded(links: DataFrame, members: DataFrame, block: int = 1024) -> DataFrame:
+    """(x, y): every pair of members of linked classes, and of members of one class."""
+    named = members.select("id", F.struct("rep", "mark").alias("c"))
+    own = named.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
+    across = links.select(F.struct(F.col("a").alias("rep"), F.col("ga").alias("mark")).alias("a"), F.struct(F.col("b").alias("rep"), F.col("gb").alias("mark")).alias("b"))
+    return in_blocks(across.unionByName(own), named, block).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select("x", "y")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_cols: tuple[str, str], **kw) -> DataFrame:

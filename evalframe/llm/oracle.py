@@ -54,8 +54,8 @@ WHERE 10 * c >= 6 * (x.n + y.n - c)
 
 _P6 = P6_FOUND[: P6_FOUND.index("SELECT least(")]
 P6_REPORT = _P6 + r"""
-, l AS (SELECT e, max(c.c / x.n) AS containment FROM c JOIN n x ON x.case_id = e JOIN n y ON y.case_id = t WHERE 10 * c.c >= 6 * (x.n + y.n - c.c) GROUP BY e)
-SELECT suite, source, count(*) AS rows, count(l.e) AS overlapping, count(*) FILTER (l.containment >= 1) AS exact
+, l AS (SELECT e, max(c.c / x.n) AS containment, bool_or(c.c = x.n AND c.c = y.n) AS same FROM c JOIN n x ON x.case_id = e JOIN n y ON y.case_id = t WHERE 10 * c.c >= 6 * (x.n + y.n - c.c) GROUP BY e)
+SELECT suite, source, count(*) AS rows, count(l.e) AS overlapping, count(*) FILTER (l.containment >= 1) AS contained, count(*) FILTER (l.same) AS exact
 FROM test_cases k LEFT JOIN l ON l.e = k.case_id WHERE suite IS NOT NULL AND suite <> 'repair' GROUP BY suite, source
 """
 

@@ -51,9 +51,20 @@ def candidate_pairs(anchored: DataFrame, threshold: tuple[int, int], block: int
     return left.join(right, ["h", "i", "j"]).where(ordered & enough).select("a", "b").distinct()
 
 
+#: candidate pairs up to which the sets they need are picked by a broadcast of the ids (8 bytes each)
+BROADCAST_PAIRS = 2_000_000
+
+
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The exact check of candidate pairs: a, b, na, nb, common. ``left``/``right``: id, n, sh."""
+    """The exact check of candidate pairs: a, b, na, nb, common. ``left``/``right``: id, n, sh.
+
+    Only sets of records in a pair are sent around: where the pairs are few (counted first; they should be
+    checkpointed) their ids are broadcast and sets of other records end in the scan.
+    """
     num, den = threshold
+    if pairs.count() <= BROADCAST_PAIRS:
+        needed = lambda c: F.broadcast(pairs.select(F.col(c).alias("id")).distinct())
+        left, right = left.join(needed("a"), "id", "left_semi"), right.join(needed("b"), "id", "left_semi")
     one = left.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
     two = right.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from evalframe.llm import setjoin, shingles
+from evalframe.llm.near_duplicates import in_blocks
+from evalframe.session import checkpointed
 
 
 def split_overlap_links(
@@ -25,7 +27,7 @@ def split_overlap_links(
     classes = keyed.groupBy("side", "n", "g1", "g2").agg(F.min("id").alias("rep"), F.any_value("prefix").alias("prefix"))
     members = keyed.drop("prefix").join(classes.drop("prefix"), ["side", "n", "g1", "g2"]).select("id", "suite", "rep", "side")
     anchored = classes.select(F.col("rep").alias("id"), "side", "n", F.posexplode("prefix").alias("pos", "h"))
-    pairs = setjoin.candidate_pairs(anchored, threshold, block, sides=True)
+    pairs = checkpointed(setjoin.candidate_pairs(anchored, threshold, block, sides=True))
     links = setjoin.verified(pairs, sets.where(~F.col("side")), sets.where("side"), threshold)
     return members, links
 
@@ -33,21 +35,26 @@ def split_overlap_links(
 def split_overlap_pairs(df: DataFrame, **kw) -> DataFrame:
     """id_a < id_b, eval_id, train_id: every overlapping evaluation/training pair, copies included."""
     members, links = split_overlap_links(df, **kw)
-    left = members.where(~F.col("side")).select(F.col("id").alias("eval_id"), F.col("rep").alias("a"))
-    right = members.where("side").select(F.col("id").alias("train_id"), F.col("rep").alias("b"))
-    pairs = links.select("a", "b").join(left, "a").join(right, "b")
+    named = members.select("id", F.struct("side", "rep").alias("c"))
+    end = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("rep"))
+    met = in_blocks(links.select(end(False, "a").alias("a"), end(True, "b").alias("b")), named)
+    pairs = met.select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"))
     return pairs.select(F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b"), "eval_id", "train_id").distinct()
 
 
 def split_overlap_report(df: DataFrame, source_col: str = "source", **kw) -> DataFrame:
-    """suite, source, rows, overlapping, exact: evaluation rows per suite and source, how many overlap training, how many fully.
+    """suite, source, rows, overlapping, contained, exact: evaluation rows per suite and source, how many overlap training.
+
+    Of these, how many have all their runs in one training row (``contained``), and how many have just the
+    runs of one (``exact``).
 
     All evaluation rows count, those too short to be compared too. A null source is a group of its own.
     """
     id_col, suite_col, train = kw.get("id_col", "case_id"), kw.get("suite_col", "suite"), kw.get("train", "repair")
     members, links = split_overlap_links(df, **kw)
-    best = links.groupBy("a").agg(F.max(F.col("common") / F.col("na")).alias("containment"))
-    hit = members.where(~F.col("side")).join(best, members.rep == best.a).select(F.col("id").alias("hit_id"), "containment")
+    same = (F.col("common") == F.col("na")) & (F.col("common") == F.col("nb"))
+    best = links.groupBy("a").agg(F.max(F.col("common") / F.col("na")).alias("containment"), F.bool_or(same).alias("same"))
+    hit = members.where(~F.col("side")).join(best, members.rep == best.a).select(F.col("id").alias("hit_id"), "containment", "same")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(suite_col).alias("suite"), F.col(source_col).alias("source")).where(F.col("suite").isNotNull() & (F.col("suite") != train))
     joined = rows.join(hit, rows.id == hit.hit_id, "left")
-    return joined.groupBy("suite", "source").agg(F.count(F.lit(1)).alias("rows"), F.count("hit_id").alias("overlapping"), F.count_if(F.col("containment") >= 1).alias("exact"))
+    return joined.groupBy("suite", "source").agg(F.count(F.lit(1)).alias("rows"), F.count("hit_id").alias("overlapping"), F.count_if(F.col("containment") >= 1).alias("contained"), F.count_if("same").alias("exact"))
