@@ -143,6 +143,7 @@ def add_resource_verdict(
     staged = staged.withColumns({"_ops": ops, "_size": size})
     staged = staged.withColumns({"_ts": status(F.col("_ops"), F.col("_budget")), "_ms": status(F.col("_size"), F.col("_room"))})
     shown = lambda c: F.coalesce(F.col(c).try_cast("decimal(38,0)").cast("string"), F.lit("overflow"))
+    # The wording of the reasons.
     reasons = F.array_compact(F.array(
         F.when(F.col("_ts") == "FAIL", F.concat(F.lit("THEORETICAL_TLE: estimated "), shown("_ops"), F.lit(" operations exceeds budget "), F.col("_budget").cast("string"), F.lit(".")))
         .when(F.col("_ts") == "UNKNOWN", F.concat(F.lit("Time complexity could not be estimated from '"), F.col(time_complexity), F.lit("'."))),

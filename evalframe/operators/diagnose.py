@@ -9,6 +9,9 @@ from evalframe.functions.text import tokens_equal, trim_text
 from evalframe.operators.metrics import last_candidate, rate
 
 
+# The sentences of held_out_summary and repair_feedback are fixed values.
+
+
 def failed_tests(candidate: Column) -> Column:
     """the tests that did not pass; none without a candidate."""
     return F.filter(candidate["tests"], lambda t: ~F.coalesce(t["passed"], F.lit(False)))
@@ -68,15 +71,15 @@ def totals(results: DataFrame) -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("total"), F.count_if(solved).alias("solved"), F.count_if(~solved).alias("failed"), rate(solved).alias("verified_success_rate"))
 
 
-def first_examples(failed: DataFrame, order: list[str], k: int = 5) -> DataFrame:
-    """The first k failures of each category in input order, as trimmed rows."""
+def first_examples(failed: DataFrame, order: list[str], k: int = 5, keep: list[str] = []) -> DataFrame:
+    """The first k failures of each category in input order, as trimmed rows (P9), with the columns to ``keep``."""
     ranked = failed.withColumn("example", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where(F.col("example") <= k)
     first = F.try_element_at(failed_tests(last_candidate(F.col("attempt_records"))), F.lit(1))
     text = lambda c, n: trim_text(F.coalesce(c, F.lit("")), n)
     return ranked.select(
         "category", "example", "problem_id", "status", "failure_reason", "attempts", text(F.col("diagnostic_summary"), 500).alias("diagnostic_summary"),
         first["test_id"].alias("test_id"), first["timed_out"].alias("timed_out"), text(first["expected"], 300).alias("expected"), text(first["actual"], 300).alias("actual"), text(first["stderr"], 300).alias("stderr"),
-        text(F.try_element_at("traces", F.lit(-1))["message"], 500).alias("last_trace"),
+        text(F.try_element_at("traces", F.lit(-1))["message"], 500).alias("last_trace"), F.try_element_at("traces", F.lit(-1))["stage"].alias("last_stage"), *keep,
     )
 
 

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evalframe.functions.feasibility import add_resource_verdict
+from evalframe.functions.feasibility import add_resource_verdict, unknown_verdict
 from evalframe.functions.text import general_number
 from evalframe.operators import diagnose, sandbox
 from evalframe.operators.metrics import all_passed
@@ -36,6 +36,11 @@ def table_generator(answers: DataFrame) -> Generator:
     return lambda asked: asked.select("problem_id", "attempt").join(answers, ["problem_id", "attempt"]).drop("attempt")
 
 
+def as_cases(cases: str) -> Column:
+    """Tests of a bundle in the shape that the sandbox takes."""
+    return F.transform(cases, lambda c: F.struct(c["id"].alias("id"), F.lit(None).cast("string").alias("name"), c["stdin"].alias("stdin"), c["expected_stdout"].alias("expected_stdout"), c["timeout_sec"].alias("timeout_sec")))
+
+
 def _answered(asked: DataFrame, given: DataFrame) -> DataFrame:
     """One response for every problem asked about; nulls where the generator gave none."""
     text = lambda c: (F.col(c) if c in given.columns else F.lit(None)).cast("string").alias(c)
@@ -48,7 +53,7 @@ def solve(
     explain: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row a problem, all of them: problem_id, status, attempts, code, explanation,
-    failure_reason, diagnostic_summary, attempt_records, held_out_result, traces.
+    failure_reason, diagnostic_summary, resource_verdict (of the last attempt), attempt_records, held_out_result, traces.
 
     ``problems``: problem_id, the SPEC columns, repair_tests and eval_tests. FAILED rows carry no code.
     ``explain`` maps solved rows (problem_id, code) to (problem_id, explanation).
@@ -93,7 +98,7 @@ def solve(
     last = F.array(_trace(F.size("attempt_records"), "held_out_tests", F.when(solved, HELD_OUT_PASSED).otherwise(summary)))
     out = ended.select(
         "problem_id", F.when(solved, "SOLVED").otherwise("FAILED").alias("status"), F.size("attempt_records").alias("attempts"), F.when(solved, F.col("code")).alias("code"),
-        reason.alias("failure_reason"), told.alias("diagnostic_summary"), "attempt_records", "held_out_result",
+        reason.alias("failure_reason"), told.alias("diagnostic_summary"), F.element_at("attempt_records", -1)["resource_verdict"].alias("resource_verdict"), "attempt_records", "held_out_result",
         F.concat(_opening(), F.flatten("steps"), F.when(tried, last).otherwise(F.slice(last, 1, 0))).alias("traces"),
     )
     if explain:
@@ -102,7 +107,7 @@ def solve(
     else:
         out = out.withColumn("explanation", F.when(F.col("status") == "SOLVED", F.lit("")))
     note = F.when(F.col("failure_reason") == "MISSING_REPAIR_TESTS", NO_REPAIR_TESTS).otherwise(NO_EVAL_TESTS)
-    empty = refused.select("problem_id", F.lit("FAILED").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("code"), "failure_reason", note.alias("diagnostic_summary"), _opening().alias("traces"))
+    empty = refused.select("problem_id", F.lit("FAILED").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("code"), "failure_reason", note.alias("diagnostic_summary"), unknown_verdict(F.coalesce("time_limit_sec", F.lit(2.0)), F.coalesce("memory_limit_mb", F.lit(256))).alias("resource_verdict"), _opening().alias("traces"))
     return out.unionByName(empty, allowMissingColumns=True)
 
 

@@ -42,8 +42,8 @@ def all_passed(candidate: Column) -> Column:
     return F.coalesce(candidate["compiled"], F.lit(False)) & F.coalesce(F.forall(candidate["tests"], lambda t: F.coalesce(t["passed"], F.lit(False))), F.lit(True))
 
 
-def per_problem(results: DataFrame) -> DataFrame:
-    """The flat quantities that the summary aggregates."""
+def per_problem(results: DataFrame, keep: list[str] = []) -> DataFrame:
+    """The flat quantities that the summary aggregates, with the columns to ``keep``."""
     recs, held, v = F.col("attempt_records"), F.col("held_out_result"), F.col("resource_verdict")
     first, last = first_candidate(recs), last_candidate(recs)
     return results.select(
@@ -52,14 +52,13 @@ def per_problem(results: DataFrame) -> DataFrame:
         F.coalesce(F.when(held.isNotNull(), held["compiled"]).otherwise(last["compiled"]), F.lit(False)).alias("final_compiled"),
         pass_rate(last).alias("repair_rate"), pass_rate(held).alias("held_out_rate"),
         F.greatest(F.lit(0), F.coalesce("attempts", F.lit(0)) - 1).alias("turns"),
-        v["time_status"].alias("time_status"), v["memory_status"].alias("memory_status"),
+        v["time_status"].alias("time_status"), v["memory_status"].alias("memory_status"), *keep,
     )
 
 
-def summarize(results: DataFrame) -> DataFrame:
-    """One row, all zero for no results."""
+def _summary() -> list[Column]:
     solved = F.col("status").eqNullSafe("SOLVED")
-    return per_problem(results).agg(
+    return [
         F.count(F.lit(1)).alias("num_problems"),
         rate(F.col("first_compiled")).alias("initial_compile_rate"),
         rate(F.col("final_compiled")).alias("final_compile_rate"),
@@ -71,7 +70,17 @@ def summarize(results: DataFrame) -> DataFrame:
         rate(F.col("memory_status") == "FAIL").alias("theoretical_mle_rate"),
         rate((F.col("time_status") == "UNKNOWN") | (F.col("memory_status") == "UNKNOWN")).alias("complexity_unknown_rate"),
         F.coalesce(F.avg(F.when(solved, F.when(F.col("explanation") != "", F.lit(1.0)).otherwise(F.lit(0.0)))), F.lit(0.0)).alias("explanation_success_rate"),
-    )
+    ]
+
+
+def summarize(results: DataFrame) -> DataFrame:
+    """One row, all zero for no results."""
+    return per_problem(results).agg(*_summary())
+
+
+def summarize_by(results: DataFrame, key: str) -> DataFrame:
+    """The same, one row a value of ``key`` (say, a report)."""
+    return per_problem(results, [key]).groupBy(key).agg(*_summary())
 
 
 def failure_breakdown(results: DataFrame, order: Column | None = None) -> DataFrame:

@@ -55,7 +55,12 @@ def first_verified_python(solutions: Column) -> Column:
     return F.coalesce(F.try_element_at(ok, F.lit(1))["code"], F.lit(""))
 
 
-def translate(bundles: DataFrame, prompts: DataFrame, translator: Callable[[DataFrame], DataFrame], candidates: int = 2, language: str = "cpp17", memory_mb: int = 1024) -> DataFrame:
+def table_translator(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A translator that looks its responses up in a table (problem_id, candidate, response)."""
+    return lambda asked: asked.select("problem_id", "candidate").join(responses, ["problem_id", "candidate"])
+
+
+def translate(bundles: DataFrame, prompts: DataFrame, translator: Callable[[DataFrame], DataFrame], candidates: int = 2, language: str = "cpp17", memory_mb: int = 1024, compiler: str = "g++") -> DataFrame:
     """Bundles with the first of at most ``candidates`` translations that passes all tests added.
 
     ``prompts``: problem_id, prompt. ``translator`` maps (problem_id, candidate, request) to (problem_id,
@@ -68,7 +73,7 @@ def translate(bundles: DataFrame, prompts: DataFrame, translator: Callable[[Data
     codes = translator(asked).select("problem_id", F.col("candidate").alias("pos"), extract_code("response", strict=True).alias("code")).where("code <> ''")
     tests = bundles.select(F.col("problem.id").alias("problem_id"), F.expr(_CASES).alias("tests"), F.expr(TIMEOUT).alias("timeout_sec"))
     rows = _candidates(codes.join(tests, "problem_id"))
-    won = sandbox.first_passing(rows, "problem_id", "pos", language, candidates, memory_mb).where("passed_at is not null").select("problem_id", F.col("passed_at").alias("pos"))
+    won = sandbox.first_passing(rows, "problem_id", "pos", language, candidates, memory_mb, compiler).where("passed_at is not null").select("problem_id", F.col("passed_at").alias("pos"))
     best = codes.join(won, ["problem_id", "pos"]).select(F.col("problem_id").alias("_pid"), F.col("code").alias("_code"))
     joined = base.join(best, F.col("problem.id") == F.col("_pid"), "left")
     more = F.concat("oracle.solutions", F.array(F.struct(F.lit("cpp17").alias("language"), F.col("_code").alias("code"), F.lit(True).alias("verified"))))

@@ -114,7 +114,7 @@ def evaluate(candidates: DataFrame, language: str = "python3", memory_mb: int =
     return candidates.mapInPandas(run, CANDIDATE_RESULT)
 
 
-def first_passing(candidates: DataFrame, group: str, position: str, language: str = "python3", rounds: int = 3, memory_mb: int = 512) -> DataFrame:
+def first_passing(candidates: DataFrame, group: str, position: str, language: str = "python3", rounds: int = 3, memory_mb: int = 512, compiler: str = "g++") -> DataFrame:
     """For each group the first of at most ``rounds`` candidates that passes all its tests (at least one).
 
     Round r runs the r-th candidate of the groups still open; the rest are never run. Columns: the group,
@@ -130,7 +130,7 @@ def first_passing(candidates: DataFrame, group: str, position: str, language: st
     won = None
     for r in range(1, rounds + 1):
         now = ranked.where(F.col("_r") == r).join(open_groups, group, "left_semi")
-        got = evaluate(now.select("candidate_id", "code", "tests", "timeout_sec", F.lit("repair").alias("suite")), language, memory_mb)
+        got = evaluate(now.select("candidate_id", "code", "tests", "timeout_sec", F.lit("repair").alias("suite")), language, memory_mb, compiler)
         ok = got.where(all_passed(F.struct("compiled", "tests")) & (F.size("tests") > 0)).select("candidate_id")
         new = checkpointed(now.join(ok, "candidate_id", "left_semi").select(group, F.col(position).alias("passed_at")))
         won = new if won is None else won.unionByName(new)

@@ -160,6 +160,9 @@ def failure_pairs(failed: DataFrame, bundles: DataFrame, order: list[str], reaso
     )
 
 
+PAIR_OUTCOMES = ("written", "skipped_no_problem", "skipped_no_verified_cpp", "skipped_no_failed_code", "skipped_duplicate", "skipped_same_as_chosen", "skipped_failure_reason")
+
+
 def pair_records(pairs: DataFrame) -> DataFrame:
     return pairs.where("outcome = 'written'").select("prompt", "chosen", "rejected", "problem_id", "failure_reason", "diagnostic_summary")
 
