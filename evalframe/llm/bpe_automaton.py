@@ -1,10 +1,12 @@
 """Problem 7: encoding a corpus with a byte-level BPE vocabulary through a tokenization automaton.
 
-``MergeAutomaton`` is built by one gadget a merge, in rank order. The gadget of u, v -> t deletes the arc v
-from the state reached by u, adds the arc t wherever u was allowed, and lets the state after t start as
-the state after v was at that moment. A path of the finished automaton is exactly a BPE encoding. An arc
-(state after a, label b) stands if no gadget took away a pair on the right edge of a and the left edge of b
-while both were alive; arcs are resolved from the gadgets when first asked for and then kept.
+``MergeAutomaton`` stands for the automaton that one gadget a merge, in rank order, would build: the gadget of
+u, v -> t deletes the arc v from the state reached by u, adds the arc t wherever u was allowed, and lets the
+state after t start as the state after v was at that moment. A path of the finished automaton is exactly a BPE
+encoding. Written out it would have an arc for nearly every pair of labels (some 10^9 for 50,000 labels), so
+it is not: construction records the gadgets, and whether an arc (state after a, label b) stands is worked out
+from them when it is first asked for (no gadget took away a pair on the right edge of a and the left edge of b
+while both were alive) and then kept.
 
 ``Transducer`` determinises the automaton over characters: a state is the last settled label and the bytes
 that later characters may still regroup; reading a character settles the labels on which all live

@@ -75,7 +75,23 @@ _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
 _CLOSING = set("\"”’»“」』)）]}")
 
 
-def decide(text: str, at: int, window: int = 20) -> bool:
+#: what a rule looks back on besides blanks and marks: no before-pattern asks for more
+REACH = 20
+_RUNS = re.compile(r"\s\s|[.!?…。！？]{3}")
+_MARKS = set(".!?…。！？।॥؟۔\"”’»“」』)）]}")
+
+
+def _back(text: str, at: int) -> int:
+    """Where REACH characters that are neither blanks nor marks begin before the position."""
+    left = REACH
+    while at and left:
+        at -= 1
+        if not text[at].isspace() and text[at] not in _MARKS:
+            left -= 1
+    return at
+
+
+def decide(text: str, at: int) -> bool:
     """Whether a sentence ends at the position: the first rule of the tables that matches."""
     end = len(text)
     nxt = at
@@ -85,11 +101,13 @@ def decide(text: str, at: int, window: int = 20) -> bool:
         return True
     if text[at - 1] in _PLAIN_STOPS:
         return True
-    before = text[max(0, at - window) : at]
-    if before[-1] == "." and not _SPECIAL.search(before):
+    start = max(0, at - REACH)
+    if _RUNS.search(text, start, at):
+        start = _back(text, at)
+    if text[at - 1] == "." and not _SPECIAL.search(text, start, at):
         return True
     for _, brk, b, a in _COMPILED:
-        if (a is None or a.match(text, nxt)) and b.search(before):
+        if (a is None or a.match(text, nxt)) and b.search(text, start, at):
             return brk
     return False
 
@@ -121,7 +139,7 @@ def _paragraph(text: str, start: int, end: int, out: list[tuple[int, int]]) -> N
             while began < len(p) and p[began].isspace():
                 began += 1
     if _HAS_THAI.search(p):
-        cuts = sorted({*cuts, *(m.start() for m in _THAI.finditer(p))})
+        cuts = sorted({*cuts, *(m.start() for m in _THAI.finditer(p) if decide(p, m.start()))})
     at = 0
     for cut in [*cuts, len(p)]:
         a, b = at, cut
