@@ -17,6 +17,17 @@ c AS (SELECT a.spec_id AS a, b.spec_id AS b, count(*) AS c FROM h a JOIN h b ON
 SELECT a AS spec_id_a, b AS spec_id_b FROM c JOIN n x ON x.spec_id = a JOIN n y ON y.spec_id = b WHERE 2 * c >= x.n + y.n - c
 """
 
+_P1 = P1_FOUND.replace("WITH w AS", "WITH RECURSIVE w AS", 1)
+P1_CLASSES = _P1[: _P1.rindex("SELECT a AS spec_id_a")].rstrip() + r""",
+p AS (SELECT a, b FROM c JOIN n x ON x.spec_id = a JOIN n y ON y.spec_id = b WHERE 2 * c >= x.n + y.n - c),
+k AS (SELECT spec_id, md5(string_agg(g, '|' ORDER BY g)) AS k FROM s GROUP BY spec_id),
+m AS (SELECT spec_id, min(spec_id) OVER (PARTITION BY k) AS rep, count(*) OVER (PARTITION BY k) AS copies FROM k),
+e AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM p JOIN m x ON x.spec_id = p.a JOIN m y ON y.spec_id = p.b WHERE x.rep <> y.rep),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT rep AS node, rep AS root FROM m UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node)
+SELECT spec_id, (SELECT min(root) FROM r WHERE r.node = m.rep) AS class_id, copies, (SELECT count(*) FROM l WHERE l.a = m.rep) AS links FROM m
+"""
+
 _P2_COUNTS = r"""
 WITH t AS (
   SELECT dimension, lower(trim(category)) AS category, CAST(round(target_share * 100) AS BIGINT) AS h, coalesce(min_rows, 0) AS m FROM sample_targets
@@ -70,9 +81,16 @@ du AS (
 ), dg AS (SELECT doc_id, lang, array_to_string(u[j : j + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(u) - k + 2)) AS j FROM du)),
 hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (lang, g))
 """
+#: the same windows with their places; a match is a run of windows on one diagonal
+P8_ITEMS = _LEAKS[: _LEAKS.index("hit AS (")].replace("SELECT DISTINCT item_id, lang,", "SELECT item_id, lang, k, j,", 1).replace("SELECT doc_id, lang, array_to_string", "SELECT doc_id, lang, j, array_to_string", 1) + r"""
+h AS (SELECT doc_id, item_id, ig.k, dg.j - ig.j AS diagonal, dg.j AS j FROM dg JOIN ig USING (lang, g)),
+o AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j) AS island FROM h),
+x AS (SELECT doc_id, item_id, count(*) + any_value(k) - 1 AS units FROM o GROUP BY doc_id, item_id, diagonal, island)
+SELECT item_id, count(DISTINCT doc_id) AS documents, max(units) AS longest FROM x GROUP BY item_id
+"""
 P8_FOUND = _LEAKS + "SELECT doc_id, item_id FROM hit"
 P8_CLEAN = _LEAKS + "SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": _P2_COUNTS, "p2_margins": P2_MARGINS, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}
+    return {"p1_found": P1_FOUND, "p1_classes": P1_CLASSES, "p2_found": _P2_COUNTS, "p2_margins": P2_MARGINS, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p8_found": P8_FOUND, "p8_items": P8_ITEMS, "p8_clean": P8_CLEAN}
