@@ -8,8 +8,8 @@ of exactly one anchor). A fingerprint is replicated to every anchor within cover
 home anchor of one is in reach of the other), and many that differ in more; with several tables the pairs
 left over become few. Per anchor all fingerprints are compared over all their bits.
 
-Anchors are sent around in shards (a record goes once to each shard that holds one of its anchors). The
-number of shards grows with the records, so what a task holds is bounded; an anchor with more than ``block``
+Anchors are sent around in shards, one or more a table (a record goes once to each shard that holds one of its
+anchors). The number of shards grows with the records, so what a task holds is bounded; an anchor with more than ``block``
 records is cut into blocks, and each pair of blocks is a group of its own.
 """
 
@@ -31,7 +31,6 @@ TABLES = WORDS * 64 // LENGTH
 ANCHORS = 1 << MESSAGE
 #: anchor entries that one shard may be expected to hold
 SHARD_ENTRIES = 2_000_000
-LEAST_SHARDS = 16
 _CHECKS = LENGTH - MESSAGE
 
 
@@ -92,26 +91,25 @@ def fingerprints(flat: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> n
     return out
 
 
-def table_words(prints: np.ndarray, tables: int) -> Iterator[np.ndarray]:
-    """The 23-bit word of each fingerprint in each table."""
-    for t in range(tables):
-        at, off = divmod(t * LENGTH, 64)
-        word = prints[:, at] >> np.uint64(off)
-        if off + LENGTH > 64:
-            word = word | prints[:, at + 1] << np.uint64(64 - off)
-        yield (word & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
+def table_word(prints: np.ndarray, table: int) -> np.ndarray:
+    """The 23-bit word of each fingerprint in a table."""
+    at, off = divmod(table * LENGTH, 64)
+    word = prints[:, at] >> np.uint64(off)
+    if off + LENGTH > 64:
+        word = word | prints[:, at + 1] << np.uint64(64 - off)
+    return (word & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
 
 
 def entries(prints: np.ndarray, tables: int, within: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) of every replica; anchors of table t are numbered from t * ANCHORS."""
-    rows, anchors = zip(*(code(within).anchors(w) for w in table_words(prints, tables)))
+    rows, anchors = zip(*(code(within).anchors(table_word(prints, t)) for t in range(tables)))
     return np.concatenate(rows), np.concatenate([a + t * ANCHORS for t, a in enumerate(anchors)])
 
 
-def most_bits(threshold: tuple[int, int], tables: int, sigmas: float = 4.0) -> int:
-    """How many fingerprint bits a pair at the similarity threshold may differ in (mean plus ``sigmas`` deviations)."""
-    n, p = tables * LENGTH, (1 - threshold[0] / threshold[1]) / 2
-    return math.ceil(n * p + sigmas * math.sqrt(n * p * (1 - p)))
+def most_bits(threshold: tuple[int, int], bits: int, sigmas: float) -> int:
+    """How many of ``bits`` fingerprint bits a pair at the similarity threshold may differ in (mean plus ``sigmas`` deviations)."""
+    p = (1 - threshold[0] / threshold[1]) / 2
+    return math.ceil(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
 
 
 def _prints(batch) -> np.ndarray:
@@ -134,19 +132,22 @@ def _counted(tables: int, within: int):
     return run
 
 
-def _sent(tables: int, within: int, shards: int, hot: dict[int, tuple[int, int]]):
+def _sent(tables: int, within: int, parts: int, hot: dict[int, tuple[int, int]]):
     """Rows (shard, id, fingerprint): once a shard of ordinary anchors, once a pair of blocks of a hot one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_anchors = np.array(sorted(hot), dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, anchor = entries(_prints(batch), tables, within)
-            ids = batch.column("id").to_numpy()
-            is_hot = np.isin(anchor, hot_anchors)
-            to = np.unique(row[~is_hot] * shards + anchor[~is_hot] % shards)
+            ids, shards = batch.column("id").to_numpy(), tables * parts
+            if parts == 1 and not hot:  # every record has an anchor in every table
+                to = np.arange(len(ids) * tables)
+            else:
+                row, anchor = entries(_prints(batch), tables, within)
+                cool = ~np.isin(anchor, hot_anchors)
+                to = np.unique(row[cool] * shards + anchor[cool] // ANCHORS * parts + anchor[cool] % parts)
             where, group = [to // shards], [to % shards]
-            for a in hot_anchors[np.isin(hot_anchors, anchor)]:
+            for a in hot_anchors[np.isin(hot_anchors, anchor)] if hot else ():
                 blocks, base = hot[int(a)]
                 mine = row[anchor == a]
                 k = _block_of(ids[mine], blocks)
@@ -162,24 +163,28 @@ def _sent(tables: int, within: int, shards: int, hot: dict[int, tuple[int, int]]
     return run
 
 
-def _near(x: np.ndarray, y: np.ndarray, most: int, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of x and y whose fingerprints differ in at most ``most`` bits."""
+def _near(x: np.ndarray, y: np.ndarray, most: tuple[int, int], step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and y whose fingerprints differ in at most ``most[1]`` bits (and, asked first, the first half in ``most[0]``)."""
+    half = WORDS // 2
     for at in range(0, len(x), step):
         off = np.zeros((len(x[at : at + step]), len(y)), dtype=np.uint16)
-        for w in range(WORDS):
+        for w in range(half):
             off += np.bitwise_count(x[at : at + step, w, None] ^ y[None, :, w])
-        i, j = np.nonzero(off <= most)
-        yield i + at, j
+        i, j = np.nonzero(off <= most[0])
+        full = off[i, j] + np.bitwise_count(x[i + at, half:] ^ y[j, half:]).sum(axis=1, dtype=np.uint16)
+        near = full <= most[1]
+        yield i[near] + at, j[near]
 
 
-def _compared(tables: int, within: int, shards: int, hot: dict[int, tuple[int, int]], most: int):
+def _compared(tables: int, within: int, parts: int, hot: dict[int, tuple[int, int]], most: tuple[int, int]):
     """The pairs of one shard that meet at an anchor and whose fingerprints are near."""
     def run(group: pa.Table) -> pa.Table:
         ids, marks, prints = group.column("id").to_numpy(), group.column("mark").to_numpy(), _prints(group)
         shard, lefts, rights = group.column("shard")[0].as_py(), [], []
-        if shard < shards:
-            row, anchor = entries(prints, tables, within)
-            mine = (anchor % shards == shard) & ~np.isin(anchor, np.array(sorted(hot), dtype=np.int64))
+        if shard < tables * parts:
+            table, part = divmod(shard, parts)
+            row, anchor = code(within).anchors(table_word(prints, table))
+            mine = (anchor % parts == part) & ~np.isin(anchor + table * ANCHORS, np.array(sorted(hot), dtype=np.int64))
             row, anchor = row[mine], anchor[mine]
             order = np.argsort(anchor, kind="stable")
             row, cuts = row[order], np.flatnonzero(np.diff(anchor[order])) + 1
@@ -215,16 +220,16 @@ def near_pairs(prints: DataFrame, threshold: tuple[int, int], tables: int = TABL
     """
     if not 1 <= tables <= TABLES:
         raise ValueError(f"1 to {TABLES} tables")
-    most = most_bits(threshold, tables)
+    most = (most_bits(threshold, WORDS // 2 * 64, 4.5), most_bits(threshold, TABLES * LENGTH, 4.0))
     counts = prints.mapInArrow(_counted(tables, within), "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).collect()
-    shards = max(LEAST_SHARDS, -(-sum(r.n for r in counts) // SHARD_ENTRIES))
+    parts = max(1, -(-sum(r.n for r in counts) // (tables * SHARD_ENTRIES)))
     hot: dict[int, tuple[int, int]] = {}
-    base = shards
+    base = tables * parts
     for r in sorted(r for r in counts if r.n > block):
         blocks = -(-r.n // block)
         hot[r.anchor] = (blocks, base)
         base += blocks * blocks
     cols = ", ".join(f"f{i} long" for i in range(WORDS))
-    sent = prints.mapInArrow(_sent(tables, within, shards, hot), f"shard long, id long, mark long, {cols}")
-    found = sent.groupBy("shard").applyInArrow(_compared(tables, within, shards, hot, most), "a long, ga long, b long, gb long")
+    sent = prints.mapInArrow(_sent(tables, within, parts, hot), f"shard long, id long, mark long, {cols}")
+    found = sent.groupBy("shard").applyInArrow(_compared(tables, within, parts, hot, most), "a long, ga long, b long, gb long")
     return found.distinct()

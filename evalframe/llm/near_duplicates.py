@@ -25,7 +25,7 @@ from evalframe.session import checkpointed, spread
 #: ids (16 bytes each) up to which the check's records are found by a broadcast instead of a shuffle of the texts
 BROADCAST_IDS = 1_000_000
 #: shingles that a worker turns into fingerprints at once
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 _FIELDS = [f"f{i}" for i in range(anchor_points.WORDS)]
 
 
