@@ -51,8 +51,11 @@ def parse_failure(code: str | None, lang: str | None) -> tuple[int, bool] | None
     found = language(lang).failure(code)
     if lang == "python3":
         refused = _python_refuses(code)
+        if found and refused:  # a target, say, is named by Python's parser before the token that cannot follow it
+            named = _place(code, refused) if isinstance(refused, SyntaxError) and refused.lineno and not found[1] else found[0]
+            return min(found[0], named), found[1]
         if found:
-            return found if refused else None
+            return None
         if isinstance(refused, (SyntaxError, ValueError)):  # other errors are limits of the parser
             return _place(code, refused), False
     return found
