@@ -8,8 +8,8 @@ of exactly one anchor). A fingerprint is replicated to every anchor within cover
 home anchor of one is in reach of the other), and many that differ in more; with several tables the pairs
 left over become few. Per anchor all fingerprints are compared over all their bits.
 
-Anchors are sent around in shards, one or more a table (a record goes once to each shard that holds one of its
-anchors). The number of shards grows with the records, so what a task holds is bounded; an anchor with more than ``block``
+Anchors are sent around in shards, one or more for every two tables (a record goes once to each shard that holds
+one of its anchors). The number of shards grows with the records, so what a task holds is bounded; an anchor with more than ``block``
 records is cut into blocks, and each pair of blocks is a group of its own.
 """
 
@@ -31,6 +31,8 @@ TABLES = WORDS * 64 // LENGTH
 ANCHORS = 1 << MESSAGE
 #: anchor entries that one shard may be expected to hold
 SHARD_ENTRIES = 2_000_000
+#: tables that share their shards
+TOGETHER = 2
 _CHECKS = LENGTH - MESSAGE
 
 
@@ -121,6 +123,10 @@ def _block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
 
 
+def _groups(tables: int) -> int:
+    return -(-tables // TOGETHER)
+
+
 def _counted(tables: int, within: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(tables * ANCHORS, dtype=np.int64)
@@ -139,13 +145,13 @@ def _sent(tables: int, within: int, parts: int, hot: dict[int, tuple[int, int]])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, shards = batch.column("id").to_numpy(), tables * parts
+            ids, shards = batch.column("id").to_numpy(), _groups(tables) * parts
             if parts == 1 and not hot:  # every record has an anchor in every table
-                to = np.arange(len(ids) * tables)
+                to = np.arange(len(ids) * shards)
             else:
                 row, anchor = entries(_prints(batch), tables, within)
                 cool = ~np.isin(anchor, hot_anchors)
-                to = np.unique(row[cool] * shards + anchor[cool] // ANCHORS * parts + anchor[cool] % parts)
+                to = np.unique(row[cool] * shards + anchor[cool] // (ANCHORS * TOGETHER) * parts + anchor[cool] % ANCHORS % parts)
             where, group = [to // shards], [to % shards]
             for a in hot_anchors[np.isin(hot_anchors, anchor)] if hot else ():
                 blocks, base = hot[int(a)]
@@ -178,21 +184,24 @@ def _near(x: np.ndarray, y: np.ndarray, most: tuple[int, int], step: int = 1024)
 
 def _compared(tables: int, within: int, parts: int, hot: dict[int, tuple[int, int]], most: tuple[int, int]):
     """The pairs of one shard that meet at an anchor and whose fingerprints are near."""
+    hot_anchors = np.array(sorted(hot), dtype=np.int64)
+
     def run(group: pa.Table) -> pa.Table:
         ids, marks, prints = group.column("id").to_numpy(), group.column("mark").to_numpy(), _prints(group)
         shard, lefts, rights = group.column("shard")[0].as_py(), [], []
-        if shard < tables * parts:
-            table, part = divmod(shard, parts)
-            row, anchor = code(within).anchors(table_word(prints, table))
-            mine = (anchor % parts == part) & ~np.isin(anchor + table * ANCHORS, np.array(sorted(hot), dtype=np.int64))
-            row, anchor = row[mine], anchor[mine]
-            order = np.argsort(anchor, kind="stable")
-            row, cuts = row[order], np.flatnonzero(np.diff(anchor[order])) + 1
-            for members in np.split(row, cuts):
-                if len(members) > 1:
-                    for i, j in _near(prints[members], prints[members], most):
-                        lefts.append(members[i[i < j]])
-                        rights.append(members[j[i < j]])
+        if shard < _groups(tables) * parts:
+            first, part = divmod(shard, parts)
+            for table in range(first * TOGETHER, min(tables, (first + 1) * TOGETHER)):
+                row, anchor = code(within).anchors(table_word(prints, table))
+                mine = (anchor % parts == part) & ~np.isin(anchor + table * ANCHORS, hot_anchors)
+                row, anchor = row[mine], anchor[mine]
+                order = np.argsort(anchor, kind="stable")
+                row, cuts = row[order], np.flatnonzero(np.diff(anchor[order])) + 1
+                for members in np.split(row, cuts):
+                    if len(members) > 1:
+                        for i, j in _near(prints[members], prints[members], most):
+                            lefts.append(members[i[i < j]])
+                            rights.append(members[j[i < j]])
         else:
             blocks, base = next((b, s) for b, s in hot.values() if s <= shard < s + b * b)
             one, two = divmod(shard - base, blocks)
@@ -222,9 +231,9 @@ def near_pairs(prints: DataFrame, threshold: tuple[int, int], tables: int = TABL
         raise ValueError(f"1 to {TABLES} tables")
     most = (most_bits(threshold, WORDS // 2 * 64, 4.5), most_bits(threshold, TABLES * LENGTH, 4.0))
     counts = prints.mapInArrow(_counted(tables, within), "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).collect()
-    parts = max(1, -(-sum(r.n for r in counts) // (tables * SHARD_ENTRIES)))
+    parts = max(1, -(-sum(r.n for r in counts) // (_groups(tables) * SHARD_ENTRIES)))
     hot: dict[int, tuple[int, int]] = {}
-    base = tables * parts
+    base = _groups(tables) * parts
     for r in sorted(r for r in counts if r.n > block):
         blocks = -(-r.n // block)
         hot[r.anchor] = (blocks, base)

@@ -80,3 +80,21 @@ def test_ids_repeated_with_other_texts(spark):
     w = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
     df = spark.createDataFrame([(1, "", w[0]), (1, "", w[1]), (2, "", w[0]), (3, "", w[1]), (3, "", w[1]), (4, "", w[2])], "id long, title string, body string").withColumns({"mark": F.lit(0), "a": F.lit("x"), "f0": F.lit(1)})
     assert {tuple(r) for r in near_duplicate_pairs(df, "id", ("title", "body")).collect()} == {(1, 2), (1, 3)}
+
+
+@pytest.mark.parametrize("entries, block", [(2_000_000, 65_536), (3000, 65_536), (777, 65_536), (3000, 3)])
+def test_shards_lose_nothing(spark, monkeypatch, entries, block):
+    """The same pairs whatever the number of shards and blocks."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, (60, ap.WORDS), dtype=np.uint64)
+    near = base.copy()
+    for row in near:
+        for bit in rng.integers(0, ap.TABLES * ap.LENGTH, 20):
+            row[bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    prints = np.concatenate([base, near]).view(np.int64)
+    monkeypatch.setattr(ap, "SHARD_ENTRIES", entries)
+    df = spark.createDataFrame([(i, 5, *map(int, r)) for i, r in enumerate(prints)], "id long, mark long, " + ", ".join(f"f{i} long" for i in range(ap.WORDS)))
+    got = {(r.a, r.b) for r in ap.near_pairs(df, (1, 2), block=block).collect()}
+    assert got == {(i, 60 + i) for i in range(60)}
+    few = {(r.a, r.b) for r in ap.near_pairs(df, (1, 2), tables=3, block=block).collect()}
+    assert few <= got and len(few) > 50
