@@ -30,7 +30,7 @@ WORDS = 6
 TABLES = WORDS * 64 // LENGTH
 ANCHORS = 1 << MESSAGE
 #: anchor entries that one shard may be expected to hold
-SHARD_ENTRIES = 2_000_000
+SHARD_ENTRIES = 4_000_000
 #: tables that share their shards
 TOGETHER = 2
 _CHECKS = LENGTH - MESSAGE
