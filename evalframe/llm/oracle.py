@@ -42,10 +42,14 @@ WHERE coalesce(c.n, 0) < greatest((t.h * size + 99) // 100, t.m)
 """
 
 #: of the rows drawn: a category with no more rows than it needs is whole, and the size is a fifth of all rows
-P2_MARGINS = _P2_COUNTS[: _P2_COUNTS.rindex("SELECT t.dimension")].replace("category, CAST(", "category, category AS label, CAST(", 1) + r"""
-SELECT t.dimension, t.label AS category, greatest((t.h * size + 99) // 100, t.m) AS need, coalesce(c.n, 0) AS available,
-  CASE WHEN coalesce(c.n, 0) <= greatest((t.h * size + 99) // 100, t.m) THEN coalesce(c.n, 0) END AS whole, size, size AS ids
-FROM t CROSS JOIN z LEFT JOIN c ON c.dimension = t.dimension AND c.category = t.category
+P2_MARGINS = _P2_COUNTS[: _P2_COUNTS.rindex("SELECT t.dimension")].replace("category, CAST(", "category, category AS label, CAST(", 1) + r""",
+g AS (SELECT t.dimension, t.category, t.label, greatest((t.h * size + 99) // 100, t.m) AS need, coalesce(c.n, 0) AS available, size FROM t CROSS JOIN z LEFT JOIN c ON c.dimension = t.dimension AND c.category = t.category),
+f AS (SELECT *, available <= need AND (dimension = 'tags' OR sum(least(available, need)) OVER (PARTITION BY dimension) <= size) AS flagged FROM g),
+v AS (
+  SELECT oracle_id, 'difficulty' AS dimension, lower(trim(difficulty)) AS category FROM oracle_meta
+  UNION ALL SELECT oracle_id, 'source', lower(trim(source)) FROM oracle_meta UNION ALL SELECT oracle_id, 'tags', lower(trim(unnest(tags))) FROM oracle_meta
+), q AS (SELECT count(DISTINCT oracle_id) AS scarce FROM v JOIN f USING (dimension, category) WHERE flagged)
+SELECT dimension, label AS category, need, available, CASE WHEN flagged AND scarce <= size THEN available END AS whole, size, size AS ids FROM f CROSS JOIN q
 """
 
 P6_FOUND = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evalframe.session import table
 
@@ -48,13 +48,24 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_margins(spark: SparkSession, d: str) -> DataFrame:
-    """What must hold of the rows drawn: need and available of each target, the rows drawn of those taken whole, and the sizes."""
-    from evalframe.llm.quota_sample import quota_sample
+    """What must hold of the rows drawn: need and available of each target, the rows drawn of those taken whole, and the sizes.
+
+    Categories with no more rows than they need are taken whole if what their dimension asks for fits into the
+    sample, and so do the rows of all of them together.
+    """
+    from evalframe.llm.quota_sample import norm, quota_sample
 
-    sample, report = quota_sample(table(spark, d, "oracle_meta"), table(spark, d, "sample_targets"), counted=True)
+    meta = table(spark, d, "oracle_meta")
+    sample, report = quota_sample(meta, table(spark, d, "sample_targets"), counted=True)
     size = sample.agg(F.count(F.lit(1)).alias("size"), F.countDistinct("id").alias("ids"))
-    whole = F.when(F.col("available") <= F.col("need"), F.col("sampled"))
-    return report.select("dimension", "category", "need", "available", whole.alias("whole")).join(F.broadcast(size))
+    carried = F.concat(F.array(F.struct(F.lit("difficulty").alias("dimension"), norm(F.col("difficulty")).alias("c")), F.struct(F.lit("source").alias("dimension"), norm(F.col("source")).alias("c"))), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.struct(F.lit("tags").alias("dimension"), norm(t).alias("c"))))
+    asked = F.sum(F.least("available", "need")).over(Window.partitionBy("dimension"))
+    report = report.join(F.broadcast(size)).withColumn("flagged", (F.col("available") <= F.col("need")) & ((F.col("dimension") == "tags") | (asked <= F.col("size"))))
+    scarce = report.where("flagged").select("dimension", norm(F.col("category")).alias("c"))
+    rows = meta.select("oracle_id", F.explode(carried).alias("x")).select("oracle_id", "x.*").join(F.broadcast(scarce), ["dimension", "c"]).agg(F.countDistinct("oracle_id").alias("scarce"))
+    both = report.join(F.broadcast(rows))
+    whole = F.when(F.col("flagged") & (F.col("scarce") <= F.col("size")), F.col("sampled"))
+    return both.select("dimension", "category", "need", "available", whole.alias("whole"), "size", "ids")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
